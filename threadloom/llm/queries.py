@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from threadloom.llm import conversations, pairs
+from threadloom.llm import conversations, pairs, pii, secrets
 from threadloom.tables import load
 
 QUERIES = {
+    "p2_found": lambda s, d: secrets.found(load(s, d, "turns"), load(s, d, "tool_calls")),
+    "p2_redacted_turns": lambda s, d: secrets.redact(load(s, d, "turns"), "id", "content"),
+    "p2_redacted_commands": lambda s, d: secrets.redact(load(s, d, "tool_calls"), "id", "cmd_prefix", cut=True),
+    "p4_found": lambda s, d: pii.found(load(s, d, "turns")),
+    "p4_sanitised": lambda s, d: pii.sanitise(load(s, d, "turns")),
     "p5_found": lambda s, d: conversations.found(load(s, d, "turns"), load(s, d, "sessions")),
     "p5_conversations": lambda s, d: conversations.conversations(load(s, d, "turns")),
     "p7_found": lambda s, d: pairs.found(load(s, d, "files_index"), load(s, d, "checkpoints")),
