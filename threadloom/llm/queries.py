@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import conversations, pairs, pii, secrets
+from threadloom.llm import conversations, leakage, packing, pairs, pii, residue, secrets
 from threadloom.tables import load
 
 QUERIES = {
@@ -16,6 +16,14 @@ QUERIES = {
     "p7_found": lambda s, d: pairs.found(load(s, d, "files_index"), load(s, d, "checkpoints")),
     "p7_pairs": lambda s, d: pairs.pairs(load(s, d, "files_index"), load(s, d, "checkpoints"), min_together=2),
     "p7_cache_differences": lambda s, d: pairs.cache_differences(load(s, d, "files_index"), load(s, d, "checkpoints"), load(s, d, "file_cooccurrence")),
+    "p8_containers": lambda s, d: packing.pack(load(s, d, "documents"), load(s, d, "pack_limits")),
+    "p8_fill": lambda s, d: packing.fill(packing.pack(load(s, d, "documents"), load(s, d, "pack_limits")), load(s, d, "pack_limits")),
+    "p9_found": lambda s, d: leakage.found(load(s, d, "documents"), load(s, d, "eval_items")),
+    "p9_leaks": lambda s, d: leakage.leaks(load(s, d, "documents"), load(s, d, "eval_items")),
+    "p9_clean": lambda s, d: leakage.clean(load(s, d, "documents"), load(s, d, "eval_items")),
+    "p10_found": lambda s, d: residue.found(load(s, d, "documents")),
+    "p10_reasons": lambda s, d: residue.judge(load(s, d, "documents")),
+    "p10_kept": lambda s, d: residue.kept(load(s, d, "documents")),
 }
 
 _MEMBERS = r"""
