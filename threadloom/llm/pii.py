@@ -78,6 +78,7 @@ def shaped(turns: DataFrame) -> DataFrame:
         F.when(t.rlike(rf"\d,? (?i:{_FR}) "), _values("french", t, FRENCH)).otherwise(none),
     )
     rows = turns.where("id is not null and content is not null").select(F.col("id").alias("turn_id"), F.explode(every).alias("v")).select("turn_id", "v.kind", "v.found")
+    rows = materialise(rows, "shaped")  # read three times below, found once
     # The end of a French street is open: a second capitalised word belongs to it if it
     # follows the first one in most of the corpus.
     fr = rows.where("kind = 'french'").withColumn("short", F.regexp_extract("found", rf"^(.*?{_LINK}{_CAP})(?: {_CAP})?$", 1))
