@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.durable import materialise
+
 #: A body of at most so many words may be nothing but a notice.
 SHORT_WORDS = 60
 #: Notice terms a short body needs, and fewer where host evidence speaks against it.
@@ -79,11 +81,8 @@ PLACEHOLDER = [
 ]
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | text.rlike(p)
-    return hit
+def _either(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def prose(text: Column) -> Column:
@@ -116,32 +115,32 @@ def examined(documents: DataFrame) -> DataFrame:
     d = documents.where("doc_id is not null").select("doc_id", "text", "source")
     d = d.withColumn("prose", prose(F.col("text"))).withColumn("body", body(F.col("text")))
     d = d.withColumn("n_words", F.size(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).withColumn("short", F.col("n_words").between(2, SHORT_WORDS))
-    terms = sum((F.when(F.col("short") & F.lower("body").rlike("(?m)" + p), 1).otherwise(0) for p in NOTICE), F.lit(0))
+    d = d.withColumn("low", F.when(F.col("short"), F.lower("body")))
+    said = F.array(*[F.col("low").rlike("(?m)" + p) for p in NOTICE])
+    d = d.withColumn("terms", F.when(F.col("short"), F.size(F.filter(said, lambda x: x))).otherwise(0))
     # A page that kept a title of its own, or speaks about notices, has its content.
-    headed = F.regexp_extract(F.lower("body"), r"(?m)^#+ ([^\n]+)$", 1)
-    own_title = (headed != "") & ~_any(headed, ["(?m)" + p for p in NOTICE])
-    real = own_title | F.lower("body").rlike("(?m)" + SUBJECT) | (terms < NOTICE_DENSITY * F.col("n_words"))
-    terms = F.when(real, 0).otherwise(terms)
+    headed = F.regexp_extract("low", r"(?m)^#+ ([^\n]+)$", 1)
+    own_title = (headed != "") & ~headed.rlike("(?m)" + _either(NOTICE))
+    real = own_title | F.col("low").rlike("(?m)" + SUBJECT) | (F.col("terms") < NOTICE_DENSITY * F.col("n_words"))
+    d = d.withColumn("notice_terms", F.when((F.col("terms") > 0) & ~real, F.col("terms")).otherwise(0))
     slug = F.filter(F.split(F.lower(F.coalesce("source", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
-    # In a body as short as this the title is its first line; without a body after it there is nothing to share.
-    own = F.exists(slug, lambda w: F.contains(F.lower("body"), w))
-    title = F.split(F.lower(F.regexp_extract("text", r"(?m)^#+ ([^\n]+)$", 1)), r"[^\p{L}]+")
-    rest = F.lower(F.regexp_replace("body", r"(?m)^#+ [^\n]+$", ""))
-    titled = F.exists(F.filter(title, lambda w: F.length(w) > 3), lambda w: F.contains(rest, w))
-    filler = F.size(F.regexp_extract_all(F.lower("prose"), F.lit(rf"\b(?:{FILLER})\b"), F.lit(0)))
+    title = F.filter(F.split(F.lower(F.regexp_extract("text", r"(?m)^#+ ([^\n]+)$", 1)), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    rest = F.regexp_replace("low", r"(?m)^#+ [^\n]+$", "")
+    alien = F.col("short") & ~F.exists(slug, lambda w: F.contains(F.col("low"), w)) & ~F.exists(title, lambda w: F.contains(rest, w))
+    filler = F.lit(rf"\b(?:{FILLER})\b")
     dense = F.exists(
-        F.split("prose", r"\n"),
-        lambda ln: F.size(F.regexp_extract_all(F.lower(ln), F.lit(rf"\b(?:{FILLER})\b"), F.lit(0))) >= F.greatest(F.lit(FILLER_WORDS), FILLER_SHARE * F.size(F.split(ln, r"\s+")) * 0.5),
+        F.split(F.lower("prose"), r"\n"),
+        lambda ln: F.size(F.regexp_extract_all(ln, filler, F.lit(0))) >= F.greatest(F.lit(FILLER_WORDS), FILLER_SHARE * F.size(F.split(ln, r"\s+"))),
     )
     return d.select(
         "doc_id",
         "source",
         "short",
-        terms.alias("notice_terms"),
-        (F.col("short") & ~own & ~titled).alias("mismatched"),
-        F.when(F.col("short"), F.md5(masked(F.col("body")))).alias("form"),
-        _any(F.col("prose"), PLACEHOLDER).alias("placeholder"),
-        (F.when(F.lower("prose").rlike(r"\b(?:lorem|ipsum)\b") & (filler >= FILLER_WORDS), dense).otherwise(F.lit(False))).alias("filler"),
+        "notice_terms",
+        F.when(F.col("notice_terms") > 0, alien).otherwise(F.lit(False)).alias("mismatched"),
+        F.when(F.col("notice_terms") > 0, F.md5(masked(F.col("body")))).alias("form"),
+        F.col("prose").rlike(_either(PLACEHOLDER)).alias("placeholder"),
+        F.when(F.col("prose").rlike(r"(?i)\b(?:lorem|ipsum)\b"), dense).otherwise(F.lit(False)).alias("filler"),
     )
 
 
@@ -150,9 +149,9 @@ def judge(documents: DataFrame) -> DataFrame:
 
     Null, empty and tiny texts (one word) are no cases. Repeated ids fold into one row.
     """
-    seen = examined(documents)
-    forms = seen.where("short and notice_terms > 0").groupBy("form").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("source").alias("n_hosts"))
-    d = seen.join(forms.withColumnRenamed("form", "f"), (F.col("form") == F.col("f")) & F.col("short") & (F.col("notice_terms") > 0), "left")
+    seen = materialise(examined(documents), "examined")  # read twice: for the forms and for the verdict
+    forms = seen.where("form is not null").groupBy("form").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("source").alias("n_hosts"))
+    d = seen.join(forms, "form", "left")
     shared = (F.coalesce("n_docs", F.lit(0)) >= SHARED_DOCS) & (F.coalesce("n_hosts", F.lit(0)) >= SHARED_HOSTS)
     need = F.when(F.col("mismatched") & shared, NOTICE_TERMS_SHARED).otherwise(NOTICE_TERMS)
     reason = F.when(F.col("short") & (F.col("notice_terms") >= need), "notice").when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler")
