@@ -31,31 +31,46 @@ K, EF = 6, 12
 MIN_COSINE = 0.90
 
 
+#: Rows to leave out up to which they are broadcast (some 60 bytes each); beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(model, session_id, vec): one usable vector per session and model.
+    """(model, session_id, generated_at, vec, h1, h2): rows with a usable vector, repeated ones as often as they come.
 
     Usable are vectors of the model's full length (its most frequent one; ties go to the
-    longer), all finite, not all zero. Of differing vectors under one key the latest
-    counts. Null keys and null vectors are left out.
+    longer), all finite, not all zero. Null keys and null vectors are left out. h1 and h2
+    are a digest of the vector.
     """
-    v = embeddings.where("session_id is not null and model is not null and embedding is not null").select("model", "session_id", "embedding", "generated_at")
+    v = embeddings.where("session_id is not null and model is not null and embedding is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = v.where((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
     sizes = good.groupBy("model", F.size("embedding").alias("dim")).count()
     full = sizes.groupBy("model").agg(F.max(F.struct("count", "dim"))["dim"].alias("dim"))
-    one = good.groupBy("model", "session_id").agg(F.max(F.struct(F.col("generated_at"), F.col("embedding"))).alias("e")).select("model", "session_id", F.col("e.embedding").alias("vec"))
-    return one.join(F.broadcast(full), "model").where(F.size("vec") == F.col("dim")).drop("dim")
+    rows = good.select("model", "session_id", "generated_at", F.col("embedding").alias("vec"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
+    return rows.join(F.broadcast(full), "model").where(F.size("vec") == F.col("dim")).drop("dim")
+
+
+def current(vectors: DataFrame) -> DataFrame:
+    """(model, session_id, h1, h2, differ): the digest that counts for each session, its latest one."""
+    h = F.struct("h1", "h2")
+    per = vectors.groupBy("model", "session_id").agg(F.max(F.struct("generated_at", "h1", "h2")).alias("m"), (F.min(h) < F.max(h)).alias("differ"))
+    return per.select("model", "session_id", "m.h1", "m.h2", "differ")
 
 
-def _digest() -> list:
-    return [F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")]
+def copies(now: DataFrame) -> DataFrame:
+    """(model, session_id, rep, h1, h2): members of each group of exact copies, by its first session; lone vectors have no row."""
+    groups = now.groupBy("model", "h1", "h2").agg(F.min("session_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return now.join(groups, ["model", "h1", "h2"]).select("model", "session_id", "rep", "h1", "h2")
 
 
-def copies(vectors: DataFrame) -> DataFrame:
-    """(model, session_id, rep): members of each group of exact copies, by its first session; lone vectors have no row."""
-    keyed = vectors.select("model", "session_id", *_digest())
-    groups = keyed.groupBy("model", "h1", "h2").agg(F.min("session_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(groups, ["model", "h1", "h2"]).select("model", "session_id", "rep")
+def _single(vectors: DataFrame, digests: DataFrame, now: DataFrame, same: DataFrame) -> DataFrame:
+    """One of each group of copies, and no vector a session has replaced. Only exceptions are
+    joined, so the vectors themselves are not shuffled here."""
+    replaced = digests.join(now.where("differ").withColumnsRenamed({"h1": "n1", "h2": "n2"}), ["model", "session_id"]).where("h1 <> n1 or h2 <> n2")
+    out = materialise(replaced.select("model", "session_id", "h1", "h2").unionByName(same.where("session_id <> rep").select("model", "session_id", "h1", "h2")), "exceptions")
+    few = out.count() <= BROADCAST_ROWS
+    return vectors.join(F.broadcast(out) if few else out, ["model", "session_id", "h1", "h2"], "left_anti")
 
 
 def _kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +96,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(vectors: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per model the centres of its cells and how many graphs each cell has.
 
-    The sample is the SAMPLE vectors with the smallest hash of each model; counts are exact.
-    Models are few; each is a bounded sample on the driver.
+    The sample is the SAMPLE vectors with the smallest hash of each model; repeated rows
+    count as often as they come. Models are few; each is a bounded sample on the driver.
     """
     out = {}
     for r in vectors.groupBy("model").count().collect():
@@ -151,6 +166,9 @@ def _answers(k: int, ef: int, ef_build: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("member", "descending"), ("session_id", "ascending")])
         ids = table["session_id"].to_numpy()
+        once = np.r_[True, ids[1:] != ids[:-1]]  # repeated rows come to the same graphs
+        if not once.all():
+            table, ids = table.filter(pa.array(once)), ids[once]
         n = int(np.count_nonzero(table["member"].to_numpy()))
         x = _matrix(table["vec"])
         found_q, found_n, found_s = [], [], []
@@ -182,11 +200,13 @@ def _answers(k: int, ef: int, ef_build: int, least: float):
 def neighbours(vectors: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16, margin: float = MARGIN, least: float = -1.0) -> DataFrame:
     """(model, session_id, neighbour, cosine, rank): the k nearest of each vector, among one of each group of copies.
 
-    Rows below the cosine *least* are left out. Ties go to the smaller session_id. Copies
+    *vectors* come from :func:`usable`. Of differing vectors of one session the latest
+    counts. Rows below the cosine *least* are left out. Ties go to the smaller session_id. Copies
     are told by :func:`copies`: each has the neighbours of its representative.
     """
-    spare = copies(vectors).where("session_id <> rep").select("model", "session_id")
-    single = vectors.join(spare, ["model", "session_id"], "left_anti")
+    digests = materialise(vectors.select("model", "session_id", "generated_at", "h1", "h2"), "digests")
+    now = current(digests)
+    single = _single(vectors, digests, now, copies(now))
     cells = fit(single)
     if not cells:
         return single.select("model", "session_id", F.col("session_id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
@@ -199,9 +219,9 @@ def neighbours(vectors: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16,
 
 def found(embeddings: DataFrame, least: float = MIN_COSINE) -> DataFrame:
     """(model, session_a, session_b): pairs of sessions with a cosine of at least *least*, session_a < session_b."""
-    vectors = materialise(usable(embeddings), "vectors")
+    vectors = usable(embeddings)
     near = neighbours(vectors, least=least).select("model", F.col("session_id").alias("x"), F.col("neighbour").alias("y"))
-    same = copies(vectors)
+    same = materialise(copies(current(vectors)), "copies")
     a = same.select("model", F.col("rep").alias("x"), F.col("session_id").alias("xs"))
     b = same.select("model", F.col("rep").alias("y"), F.col("session_id").alias("ys"))
     spread = near.join(a, ["model", "x"], "left").join(b, ["model", "y"], "left").select("model", F.coalesce("xs", "x").alias("x"), F.coalesce("ys", "y").alias("y"))
