@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.queries import hierarchies
+from threadloom.queries import core, hierarchies, passthrough
 
-MODULES = [hierarchies]
-FLAGSHIP = "p6_found"
+MODULES = [core, passthrough, hierarchies]
+FLAGSHIP = "hybrid_search"
