@@ -20,14 +20,17 @@ SUFFIXES = "tion sion ment ness able ible ful less ous ive ing ied ies ers est e
 SNIPPET, CMD_PREFIX = 300, 100
 
 
+# A stem of four bytes or more, shortest first: one to three characters that are not all ASCII, or four.
+_STEM = r"[\x{10000}-\x{10FFFF}]|[\u0800-\uFFFF].|.[\u0800-\uFFFF]|[^\x00-\x7F]{2}|(?=[\x00-\x7F]{0,2}[^\x00-\x7F]).{3}|.{4,}?"
+
+
 def stem(w: Column) -> Column:
-    """Strip the first suffix that leaves more than three bytes, once."""
-    out = None
-    for s in SUFFIXES:
-        hit = (F.octet_length(w) > len(s) + 3) & F.endswith(w, F.lit(s))
-        cut = F.left(w, F.char_length(w) - F.lit(len(s)))
-        out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    return out.otherwise(w)
+    """Strip the first suffix that leaves more than three bytes, once.
+
+    Longer suffixes come before the shorter ones they end in, so the first that fits is
+    the one with the shortest stem, which one expression finds.
+    """
+    return F.regexp_replace(w, rf"^({_STEM})(?:{'|'.join(SUFFIXES)})$", "$1")
 
 
 def tokenize(text: Column) -> Column:

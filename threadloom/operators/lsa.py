@@ -1,26 +1,25 @@
-"""Latent semantic analysis: TF-IDF rows, distributed truncated SVD, fold-in of queries."""
+"""Latent semantic analysis: TF-IDF rows, truncated SVD by distributed subspace iteration, fold-in of queries."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.durable import materialise
 from threadloom.functions.codes import dense_index
 from threadloom.functions.text import query_terms
 from threadloom.operators.retrieval import tfidf, vector_search
 
 #: The rank, at most.
 RANK = 128
-#: Up to so many terms the Gram matrix (72 MB) is summed in one pass and solved on the driver; beyond, the
-#: iterative solver passes over the rows once per step. Both are exact.
-GRAM_TERMS = 3000
+#: Columns beyond the rank, passes at most, and the change (relative to the largest value) that ends the iteration.
+OVERSAMPLE, PASSES, TOLERANCE = 16, 15, 1e-4
 
 
 @dataclass
@@ -47,6 +46,58 @@ class LsaModel:
         return vector_search(self.vectors, "id", "embedding", self.embed(text), k)
 
 
+def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """(B'B) Q for the sparse rows B: one pass, summed per term with map-side combine."""
+    sent, n, width = rows.sparkSession.sparkContext.broadcast(q), *q.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z, hit = np.zeros((n, width)), np.zeros(n, dtype=bool)
+        for b in batches:
+            for a in range(0, len(b), 500):
+                part = b.iloc[a : a + 500]
+                sizes = part["idx"].map(len).to_numpy()
+                idx, w = np.concatenate(part["idx"].to_list()), np.concatenate(part["w"].to_list())
+                y = np.add.reduceat(sent.value[idx] * w[:, None], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+                back = np.repeat(y, sizes, axis=0) * w[:, None]
+                at = np.argsort(idx, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(idx[at]) > 0])
+                z[idx[at][first]] += np.add.reduceat(back[at], first, axis=0)
+                hit[idx] = True
+        out = pd.DataFrame(z[hit], columns=[f"c{i}" for i in range(width)])
+        out.insert(0, "idx", np.flatnonzero(hit).astype("int32"))
+        yield out
+
+    cols = [f"c{i}" for i in range(width)]
+    sums = rows.mapInPandas(run, "idx int, " + ", ".join(f"{c} double" for c in cols)).groupBy("idx").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
+    out = np.zeros((n, width))
+    out[sums["idx"].to_numpy()] = sums[cols].to_numpy()
+    return out
+
+
+def _right_factors(rows: DataFrame, n_terms: int, k: int) -> tuple[list[float], np.ndarray]:
+    """Singular values and right factors (n_terms, k) of the sparse rows, by subspace iteration.
+
+    A few passes over the rows, each a sum of n_terms x width numbers; the iteration ends
+    when the leading values stand still. What comes to the driver is bounded by the
+    vocabulary times the width, whatever the number of documents.
+    """
+    width = min(n_terms, k + max(OVERSAMPLE, k // 2))
+    q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((n_terms, width)))
+    last = None
+    for _ in range(PASSES):
+        z = _gram_times(rows, q)
+        values, u = np.linalg.eigh(q.T @ z)
+        order = np.argsort(-values)[:k]
+        top = np.sqrt(np.maximum(values[order], 0))
+        v = q @ u[:, order]
+        if width == n_terms or (last is not None and np.all(np.abs(top - last) <= TOLERANCE * top[0])):
+            break
+        last = top
+        q, _ = np.linalg.qr(z)
+    keep = top > 1e-7 * top[0]
+    return [float(x) for x in top[keep]], v[:, keep]
+
+
 def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK) -> LsaModel | None:
     """Fit on documents with text; None if fewer than two documents or terms are left.
 
@@ -61,18 +112,9 @@ def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK) -> Ls
     if n_docs < 2 or n_terms < 2:
         return None
     k = min(rank, n_docs, n_terms)
-    rows = weights.join(F.broadcast(vocab), "term").groupBy("id").agg(F.collect_list(F.struct("idx", "w")).alias("cells"))
-    # Each of the solver's passes reads the rows, so they are kept.
-    sparse = rows.rdd.map(lambda r: Vectors.sparse(n_terms, sorted((c.idx, c.w) for c in r.cells))).persist(StorageLevel.MEMORY_AND_DISK)
-    matrix = RowMatrix(sparse, 0, n_terms)
-    if n_terms <= GRAM_TERMS:
-        values, v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        order = [i for i in np.argsort(-values)[:k] if values[i] > 1e-9 * values[-1]]
-        sigma, v = [float(x) for x in np.sqrt(values[order])], v[:, order]
-    else:
-        svd = matrix.computeSVD(k, computeU=False)
-        sigma, v = [float(x) for x in svd.s.toArray()], svd.V.toArray()
-    sparse.unpersist()
+    rows = weights.join(F.broadcast(vocab.select("term", "idx")), "term").groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
+    rows = materialise(rows.select("idx", "w"), "rows")
+    sigma, v = _right_factors(rows, n_terms, k)
     spark = docs.sparkSession
     vecs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n_terms)], "idx int, vec array<double>")
     n_all = float(docs.count())

@@ -57,8 +57,9 @@ def bm25_scan(docs: DataFrame, id_col: str, text_col: str, terms: list[str], *ke
     for i in range(len(terms)):
         part = _bm25_term(F.col(f"tf{i}"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avgdl"))
         score = score + F.when(F.col(f"tf{i}") > 0, part).otherwise(0.0)
-    any_term = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return rows.where(any_term).join(F.broadcast(stats)).select("id", *keep, F.round(score, 6).alias("score"))
+    # A term's weight is above zero wherever it occurs. A filter on term frequencies would be
+    # pushed below the tokeniser and run it once per term.
+    return rows.join(F.broadcast(stats)).select("id", *keep, F.round(score, 6).alias("score")).where("score > 0")
 
 
 def best_turn(hits: DataFrame, group: str = "session_id") -> DataFrame:
