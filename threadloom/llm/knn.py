@@ -25,7 +25,7 @@ CELL, GRAPH = 4096, 8192
 #: The index is fitted on at most SAMPLE vectors per model, and has one cell per SAMPLE_PER_CELL of them at most.
 SAMPLE, SAMPLE_PER_CELL, ROUNDS = 40_000, 16, 10
 #: A vector visits the cells whose centre is at most MARGIN less similar than the nearest centre.
-MARGIN = 0.10
+MARGIN = 0.06
 #: Beam and neighbours of a search.
 K, EF = 6, 12
 MIN_COSINE = 0.90
@@ -35,20 +35,23 @@ MIN_COSINE = 0.90
 BROADCAST_ROWS = 500_000
 
 
-def usable(embeddings: DataFrame) -> DataFrame:
-    """(model, session_id, generated_at, vec, h1, h2): rows with a usable vector, repeated ones as often as they come.
+def usable(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a usable vector, repeated ones as often as they come, and their digests, written once.
 
     Usable are vectors of the model's full length (its most frequent one; ties go to the
-    longer), all finite, not all zero. Null keys and null vectors are left out. h1 and h2
-    are a digest of the vector.
+    longer), all finite, not all zero. Null keys and null vectors are left out. The first
+    table has the columns (model, session_id, generated_at, vec, h1, h2), the second all
+    but vec.
     """
     v = embeddings.where("session_id is not null and model is not null and embedding is not null")
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    good = v.where((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
-    sizes = good.groupBy("model", F.size("embedding").alias("dim")).count()
-    full = sizes.groupBy("model").agg(F.max(F.struct("count", "dim"))["dim"].alias("dim"))
-    rows = good.select("model", "session_id", "generated_at", F.col("embedding").alias("vec"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
-    return rows.join(F.broadcast(full), "model").where(F.size("vec") == F.col("dim")).drop("dim")
+    # NaN sorts above infinity, and null elements are skipped by array_max.
+    low, high, inf = F.array_min("embedding"), F.array_max("embedding"), F.lit(float("inf"))
+    good = v.where((F.size("embedding") > 0) & (high < inf) & (low > -inf) & ((low != 0) | (high != 0)) & (F.size(F.array_compact("embedding")) == F.size("embedding")))
+    rows = good.select("model", "session_id", "generated_at", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), F.col("embedding").alias("vec"))
+    digests = materialise(rows.drop("vec"), "digests")
+    # One row per model.
+    full = F.broadcast(digests.groupBy("model", "dim").count().groupBy("model").agg(F.max(F.struct("count", "dim"))["dim"].alias("dim")))
+    return rows.join(full, ["model", "dim"], "left_semi").drop("dim"), digests.join(full, ["model", "dim"], "left_semi").drop("dim")
 
 
 def current(vectors: DataFrame) -> DataFrame:
@@ -93,19 +96,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def fit(vectors: DataFrame, digests: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per model the centres of its cells and how many graphs each cell has.
 
-    The sample is the SAMPLE vectors with the smallest hash of each model; repeated rows
-    count as often as they come. Models are few; each is a bounded sample on the driver.
+    The sample of a model are the vectors whose session hashes below a threshold that
+    leaves at most SAMPLE of them, 256 per cell; one pass takes those of all models.
+    Models are few, each with a bounded sample on the driver.
     """
-    out = {}
-    for r in vectors.groupBy("model").count().collect():
-        rows = vectors.where(F.col("model") == r["model"]).orderBy(F.xxhash64("session_id"), "session_id").limit(min(SAMPLE, max(1, 256 * -(-r["count"] // CELL)))).select("vec").toArrow()
-        flat = rows["vec"].combine_chunks()
-        x = _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)).astype(np.float32)
-        centres, share = _kmeans(x, min(-(-r["count"] // CELL), max(1, len(x) // SAMPLE_PER_CELL)))
-        out[r["model"]] = (centres, np.maximum(1, np.ceil(share * r["count"] / GRAPH)).astype(np.int64))
+    counts = {r["model"]: r["count"] for r in digests.groupBy("model").count().collect()}
+    wanted = {m: min(SAMPLE, 256 * -(-n // CELL)) for m, n in counts.items()}
+    place, chosen = F.pmod(F.xxhash64("session_id"), F.lit(1 << 20)), F.lit(False)
+    for m, n in counts.items():
+        chosen = chosen | ((F.col("model") == m) & (place < int((1 << 20) * min(1.0, wanted[m] / n)) + 1))
+    sample = vectors.where(chosen).limit(2 * sum(wanted.values())).select("model", "session_id", "vec").toArrow().sort_by([("model", "ascending"), ("session_id", "ascending")])
+    models, out = sample["model"].to_numpy(), {}
+    for m, n in counts.items():
+        rows = sample.filter(pa.array(models == m))["vec"].combine_chunks()
+        if len(rows):
+            x = _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)).astype(np.float32)
+            centres, share = _kmeans(x, min(-(-n // CELL), max(1, len(x) // SAMPLE_PER_CELL)))
+            out[m] = (centres, np.maximum(1, np.ceil(share * n / GRAPH)).astype(np.int64))
     return out
 
 
@@ -197,19 +207,11 @@ def _answers(k: int, ef: int, ef_build: int, least: float):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16, margin: float = MARGIN, least: float = -1.0) -> DataFrame:
-    """(model, session_id, neighbour, cosine, rank): the k nearest of each vector, among one of each group of copies.
-
-    *vectors* come from :func:`usable`. Of differing vectors of one session the latest
-    counts. Rows below the cosine *least* are left out. Ties go to the smaller session_id. Copies
-    are told by :func:`copies`: each has the neighbours of its representative.
-    """
-    digests = materialise(vectors.select("model", "session_id", "generated_at", "h1", "h2"), "digests")
-    now = current(digests)
-    single = _single(vectors, digests, now, copies(now))
-    cells = fit(single)
+def _nearest(vectors: DataFrame, digests: DataFrame, same: DataFrame, k: int, ef: int, ef_build: int, margin: float, least: float) -> DataFrame:
+    single = _single(vectors, digests, current(digests), same)
+    cells = fit(single, digests)
     if not cells:
-        return single.select("model", "session_id", F.col("session_id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
+        return single.select("model", "session_id", F.col("session_id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
     n_graphs = int(sum(g.sum() for _, g in cells.values()))
     dealt = _dealt(single, cells, margin).repartition(max(n_graphs, 8), "model", "shard")
     answers = dealt.groupBy("model", "shard").applyInArrow(_answers(k, ef, ef_build, least), _ANSWER)
@@ -217,11 +219,27 @@ def neighbours(vectors: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16,
     return answers.dropDuplicates(["model", "session_id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def neighbours(embeddings: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16, margin: float = MARGIN, least: float = -1.0) -> DataFrame:
+    """(model, session_id, neighbour, cosine, rank): the k nearest of each vector, among one of each group of copies.
+
+    Of differing vectors of one session the latest counts. Rows below the cosine *least*
+    are left out. Ties go to the smaller session_id. Copies are told by
+    :func:`copies_of`: each has the neighbours of its representative.
+    """
+    vectors, digests = usable(embeddings)
+    return _nearest(vectors, digests, copies(current(digests)), k, ef, ef_build, margin, least)
+
+
+def copies_of(embeddings: DataFrame) -> DataFrame:
+    """(model, session_id, rep) of all members of groups of exact copies."""
+    return copies(current(usable(embeddings)[1])).select("model", "session_id", "rep")
+
+
 def found(embeddings: DataFrame, least: float = MIN_COSINE) -> DataFrame:
     """(model, session_a, session_b): pairs of sessions with a cosine of at least *least*, session_a < session_b."""
-    vectors = usable(embeddings)
-    near = neighbours(vectors, least=least).select("model", F.col("session_id").alias("x"), F.col("neighbour").alias("y"))
-    same = materialise(copies(current(vectors)), "copies")
+    vectors, digests = usable(embeddings)
+    same = materialise(copies(current(digests)), "copies")
+    near = _nearest(vectors, digests, same, K, EF, 16, MARGIN, least).select("model", F.col("session_id").alias("x"), F.col("neighbour").alias("y"))
     a = same.select("model", F.col("rep").alias("x"), F.col("session_id").alias("xs"))
     b = same.select("model", F.col("rep").alias("y"), F.col("session_id").alias("ys"))
     spread = near.join(a, ["model", "x"], "left").join(b, ["model", "y"], "left").select("model", F.coalesce("xs", "x").alias("x"), F.coalesce("ys", "y").alias("y"))

@@ -10,8 +10,8 @@ QUERIES = {
     "p2_redacted_turns": lambda s, d: secrets.redact(load(s, d, "turns"), "id", "content"),
     "p2_redacted_commands": lambda s, d: secrets.redact(load(s, d, "tool_calls"), "id", "cmd_prefix", cut=True),
     "p3_found": lambda s, d: knn.found(load(s, d, "session_embeddings")),
-    "p3_neighbours": lambda s, d: knn.neighbours(knn.usable(load(s, d, "session_embeddings")), k=10, ef=128, ef_build=48, margin=0.15),
-    "p3_copies": lambda s, d: knn.copies(knn.current(knn.usable(load(s, d, "session_embeddings")))).drop("h1", "h2"),
+    "p3_neighbours": lambda s, d: knn.neighbours(load(s, d, "session_embeddings"), k=10, ef=128, ef_build=48, margin=0.15),
+    "p3_copies": lambda s, d: knn.copies_of(load(s, d, "session_embeddings")),
     "p4_found": lambda s, d: pii.found(load(s, d, "turns")),
     "p4_sanitised": lambda s, d: pii.sanitise(load(s, d, "turns")),
     "p5_found": lambda s, d: conversations.found(load(s, d, "turns"), load(s, d, "sessions")),
