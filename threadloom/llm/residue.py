@@ -27,27 +27,30 @@ SHARED_DOCS, SHARED_HOSTS = 3, 2
 #: Filler words in a text, and their share of a line, that make it filler.
 FILLER_WORDS, FILLER_SHARE = 6, 0.5
 
-# What notices say, in four languages; each entry counts once.
-NOTICE = [
+# What only notices say, in four languages; each entry counts once.
+NOTICE_STRONG = [
     r"\b(?:error|erreur|fehler)\b\D{0,20}\d{3}\b|^\W*(?:http\W*)?[45]\d\d\b|\"code\":\s*[45]\d\d|<(?:title|h1)>\W*[45]\d\d",
     r"not found|could not be found|no longer (?:exists|available)|no encontrad[ao]|nicht gefunden|introuvable|non trouvée|does not exist",
-    r"access (?:is )?denied|forbidden|permission|not authori[sz]ed|unauthori[sz]ed|zugriff verweigert|keine berechtigung|accès (?:refusé|interdit)|acceso denegado|no tiene permiso",
-    r"javascript|\bscripts?\b|\bcookies\b|\bbrowser\b|navigateur|navegador",
+    r"access (?:is )?denied|forbidden|(?:not have|no|without) permission|permission denied|not authori[sz]ed|unauthori[sz]ed|zugriff verweigert|keine berechtigung|accès (?:refusé|interdit)|acceso denegado|no tiene permiso",
     r"\benable\b|turn on|activate|aktivieren|activez|activer|habilit[ae]|active\b|not supported",
     r"maintenance|wartung|mantenimiento|be back|back shortly|down for",
     r"unavailable|not available|nicht verfügbar|indisponible|no (?:está )?disponible|temporarily",
-    r"session|sitzung|sesión|logged out|signed out",
     r"expired|abgelaufen|expiré|caducad[ao]|timed? ?out",
     r"sign in|log in|anmelden|connectez|connecter|inicie sesión",
-    r"gateway|proxy|upstream|\bserver\b|serveur|servidor|internal server error",
     r"too many requests|rate limit|trop de requêtes|zu viele anfragen|demasiadas solicitudes",
-    r"slow down|retry|try again|reload|refresh|neu laden|erneut|recharge[rz]?|réessaye[rz]?|intente|recargue",
-    r"(?:after|in) \d+ ?s(?:econds?)?\b|a few (?:seconds|minutes)|shortly|later\b|später|plus tard|más tarde",
     r"reference #|request id|\bray\b|incident|traceback id|error id|correlation id",
     r"checking your|verify(?:ing)? (?:that )?you|are (?:a )?human|captcha",
     r"before you proceed|continue to \S+\.\S+|your connection",
-    r"the (?:page|content|document|resource|file)(?: you)?(?: (?:requested|are looking for))?|this (?:page|content|document)|diese seite|cette page|la página|esta página|página de inicio|home page|startseite|page d'accueil",
     r"bad request|service unavailable|bad gateway|internal server error|not acceptable|gone\b|conflict\b|\"error\":",
+]
+# What notices say too; these alone make none.
+NOTICE_WEAK = [
+    r"javascript|\bscripts?\b|\bcookies\b|\bbrowser\b|navigateur|navegador",
+    r"session|sitzung|sesión|logged out|signed out",
+    r"gateway|proxy|upstream|\bserver\b|serveur|servidor",
+    r"slow down|retry|try again|reload|refresh|neu laden|erneut|recharge[rz]?|réessaye[rz]?|intente|recargue",
+    r"(?:after|in) \d+ ?s(?:econds?)?\b|a few (?:seconds|minutes)|shortly|later\b|später|plus tard|más tarde",
+    r"the (?:page|content|document|resource|file)(?: you)?(?: (?:requested|are looking for))?|this (?:page|content|document)|diese seite|cette page|la página|esta página|página de inicio|home page|startseite|page d'accueil",
     r"you requested|you do not have|please|bitte|veuillez|por favor|vuelva|retournez|zurück",
     r"blocked|disabled|required|requires|nécessite|erforderlich|requiere|deaktiviert",
 ]
@@ -116,11 +119,12 @@ def examined(documents: DataFrame) -> DataFrame:
     d = d.withColumn("prose", prose(F.col("text"))).withColumn("body", body(F.col("text")))
     d = d.withColumn("n_words", F.size(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).withColumn("short", F.col("n_words").between(2, SHORT_WORDS))
     d = d.withColumn("low", F.when(F.col("short"), F.lower("body")))
-    said = F.array(*[F.col("low").rlike("(?m)" + p) for p in NOTICE])
-    d = d.withColumn("terms", F.when(F.col("short"), F.size(F.filter(said, lambda x: x))).otherwise(0))
+    said = lambda ps: F.when(F.col("short"), F.size(F.filter(F.array(*[F.col("low").rlike("(?m)" + p) for p in ps]), lambda x: x))).otherwise(0)
+    d = d.withColumn("strong", said(NOTICE_STRONG))
+    d = d.withColumn("terms", F.when(F.col("strong") > 0, F.col("strong") + said(NOTICE_WEAK)).otherwise(0))
     # A page that kept a title of its own, or speaks about notices, has its content.
     headed = F.regexp_extract("low", r"(?m)^#+ ([^\n]+)$", 1)
-    own_title = (headed != "") & ~headed.rlike("(?m)" + _either(NOTICE))
+    own_title = (headed != "") & ~headed.rlike("(?m)" + _either(NOTICE_STRONG + NOTICE_WEAK))
     real = own_title | F.col("low").rlike("(?m)" + SUBJECT) | (F.col("terms") < NOTICE_DENSITY * F.col("n_words"))
     d = d.withColumn("notice_terms", F.when((F.col("terms") > 0) & ~real, F.col("terms")).otherwise(0))
     slug = F.filter(F.split(F.lower(F.coalesce("source", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
