@@ -59,7 +59,7 @@ SUBJECT = r"\btests?\b|checks? that|shows? an? |redesigned|returns? an? |\bclien
 # Filler vocabulary.
 FILLER = "lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|dolore|magna|aliqua|veniam|nostrud|exercitation|ullamco|laboris|aliquip|commodo|consequat"
 # What unfilled templates and author instructions look like in prose.
-PLACEHOLDER = [
+PLACEHOLDER_SIGNS = [
     r"\{\{[^{}\n]{0,80}\}\}",
     r"\{%[^%\n]{0,80}%\}",
     r"<%[^%\n]{0,80}%>",
@@ -73,6 +73,9 @@ PLACEHOLDER = [
     r"(?i)<(?:your|my|insert|enter|the)[ _-][^<>\n]{1,40}>",
     r"(?i)<(?:name|team|owner|project|date|company|component|version|product|email|title)(?:[ _-][\w -]{1,30})?>(?![^<]*</)",
     r"(?<![\w$%#{\"'(=])\{[A-Z][A-Za-zÄÖÜäöüß_]{1,40}\}(?!\w)",
+]
+# The same in words, and what each of them contains in lower case.
+PLACEHOLDER_WORDS = [
     r"\bundefined undefined\b|\bNaN (?:days|hours|minutes|seconds|items|%)|\[object Object\]|\bnull null\b",
     r"\bXX[X]{2,}\b|\bYYYY-MM-DD\b|\bTT\.MM\.JJJJ\b|\bJJ/MM/AAAA\b|\bDD/MM/(?:YYYY|AAAA)\b|\bMM/DD/YYYY\b",
     r"(?i)\b(?:TODO|TBD|FIXME)\s*:\s*(?:describe|write|fill|add|explain|insert|replace|complete|document|provide|update|mention)\b",
@@ -82,12 +85,25 @@ PLACEHOLDER = [
     r"(?i)\b(?:hier|hier bitte) (?:text|inhalt|beschreibung) (?:einfügen|eintragen)\b|\binsérez (?:votre|le) texte\b|\b(?:inserte|escriba) (?:aquí )?(?:el|su) texto\b",
     r"(?m)^#+ (?:Section heading|Heading \d?|Title here|Überschrift hier|Titre de section|Título de (?:la )?sección)\s*$",
 ]
+WORD_HINTS = (
+    "undefined undefined|nan |[object object]|null null|xxx|yyyy|jjjj|aaaa|todo|tbd|fixme|by the author|by the writer|by the owner|by the team|placeholder text|goes here|text here|content here|title here|description here|summary here|name here|"
+    "replace this|remplacez ce|ersetz|reemplace este|sustituya este|einfügen|eintragen|insérez|inserte|escriba|# section heading|# heading|# überschrift|# titre|# título"
+).split("|")
 
 
 def _either(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def unfilled(p: Column, low: Column) -> Column:
+    """Whether prose (*low* in lower case) holds a placeholder. Signs are sought behind their first character only, words only where a plain substring hints at one."""
+    signs = p.rlike(r"(?=[{<\[$#_%])(?:" + _either(PLACEHOLDER_SIGNS) + ")")
+    hinted = F.lit(False)
+    for h in WORD_HINTS:
+        hinted = hinted | F.contains(low, F.lit(h))
+    return signs | F.when(hinted, p.rlike(_either(PLACEHOLDER_WORDS))).otherwise(F.lit(False))
+
+
 def prose(text: Column) -> Column:
     """A text without code (fenced, inline, comments) and quoted examples."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
@@ -118,6 +134,7 @@ def examined(documents: DataFrame) -> DataFrame:
     d = documents.where("doc_id is not null").select("doc_id", "text", "source")
     d = d.withColumn("prose", prose(F.col("text"))).withColumn("body", body(F.col("text")))
     d = d.withColumn("n_words", F.size(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).withColumn("short", F.col("n_words").between(2, SHORT_WORDS))
+    d = d.withColumn("low_prose", F.lower("prose"))
     d = d.withColumn("low", F.when(F.col("short"), F.lower("body")))
     said = lambda ps: F.when(F.col("short"), F.size(F.filter(F.array(*[F.col("low").rlike("(?m)" + p) for p in ps]), lambda x: x))).otherwise(0)
     d = d.withColumn("strong", said(NOTICE_STRONG))
@@ -133,7 +150,7 @@ def examined(documents: DataFrame) -> DataFrame:
     alien = F.col("short") & ~F.exists(slug, lambda w: F.contains(F.col("low"), w)) & ~F.exists(title, lambda w: F.contains(rest, w))
     filler = F.lit(rf"\b(?:{FILLER})\b")
     dense = F.exists(
-        F.split(F.lower("prose"), r"\n"),
+        F.split("low_prose", r"\n"),
         lambda ln: F.size(F.regexp_extract_all(ln, filler, F.lit(0))) >= F.greatest(F.lit(FILLER_WORDS), FILLER_SHARE * F.size(F.split(ln, r"\s+"))),
     )
     return d.select(
@@ -143,8 +160,8 @@ def examined(documents: DataFrame) -> DataFrame:
         "notice_terms",
         F.when(F.col("notice_terms") > 0, alien).otherwise(F.lit(False)).alias("mismatched"),
         F.when(F.col("notice_terms") > 0, F.md5(masked(F.col("body")))).alias("form"),
-        F.col("prose").rlike(_either(PLACEHOLDER)).alias("placeholder"),
-        F.when(F.col("prose").rlike(r"(?i)\b(?:lorem|ipsum)\b"), dense).otherwise(F.lit(False)).alias("filler"),
+        unfilled(F.col("prose"), F.col("low_prose")).alias("placeholder"),
+        F.when(F.contains("low_prose", F.lit("lorem")) | F.contains("low_prose", F.lit("ipsum")), dense).otherwise(F.lit(False)).alias("filler"),
     )
 
 
