@@ -53,7 +53,7 @@ def truncate_bytes(text: Column, n: int) -> Column:
     # A cut inside a character leaves up to three bytes of it; the decoder shows them as U+FFFD.
     cut = F.substring(F.encode(text, "UTF-8"), 1, n)
     whole = F.filter(F.array(*[F.substring(cut, 1, n - k) for k in range(4)]), lambda b: F.is_valid_utf8(b.cast("string")))
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.element_at(whole, 1).cast("string"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.get(whole, 0).cast("string"))
 
 
 def first_snippet(text: Column, n: int = SNIPPET) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.durable import materialise
 from threadloom.functions.text import tokenize
 from threadloom.functions.vectors import cosine, literal
 
@@ -45,13 +46,14 @@ def bm25_scan(docs: DataFrame, id_col: str, text_col: str, terms: list[str], *ke
     """(id, *keep, score) of every document with one of *terms*, without an index.
 
     Term frequencies of the few query terms are counted inside each row, so nothing is
-    exploded or shuffled; the statistics are one row, broadcast.
+    exploded or shuffled; the counts are written once, for the statistics (one row,
+    broadcast) and for the scores.
     """
     terms = sorted(set(terms))
     toks = docs.select(F.col(id_col).alias("id"), *keep, tokenize(F.col(text_col)).alias("tokens"))
     count = lambda t: F.size(F.filter("tokens", lambda x: x == t))
     tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = toks.select("id", *keep, F.size("tokens").alias("dl"), *tf)
+    rows = materialise(toks.select("id", *keep, F.size("tokens").alias("dl"), *tf), "counts")
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.durable import materialise
 from threadloom.functions.text import kwic, query_terms, round2
 from threadloom.operators import retrieval
 from threadloom.operators import sessions as ops
@@ -33,7 +34,7 @@ def assemble(scored: DataFrame, best: DataFrame, turns: DataFrame, facets: DataF
     if filters.file:
         rows = rows.join(files.where(F.col("file_path").rlike(filters.file)).select("session_id").distinct(), "session_id", "left_semi")
     top = rows.select("session_id", round2(F.col("score")).alias("score"), F.col("score").alias("exact"), "user_email", "git_branch", "actor_type", "captured_at", "turn_count")
-    top = top.orderBy(F.desc("exact"), "session_id").limit(limit if limit > 0 else ops.DEFAULT_LIMIT)
+    top = top.orderBy(F.round("exact", 6).desc(), "session_id").limit(limit if limit > 0 else ops.DEFAULT_LIMIT)
     hit = best.select("session_id", "turn_id")
     text = turns.select(F.col("id").alias("turn_id"), "content", "role", "turn_index").dropDuplicates(["turn_id"])
     starts = ops.first_turns(turns.join(top.select("session_id"), "session_id", "left_semi")).select("session_id", F.col("snippet").alias("start"))
@@ -47,7 +48,7 @@ def assemble(scored: DataFrame, best: DataFrame, turns: DataFrame, facets: DataF
 def hybrid(turns: DataFrame, hits: DataFrame, latent: DataFrame, dense: DataFrame | None, facets: DataFrame, files: DataFrame, query: str, filters: Filters | None = None, limit: int = 0) -> DataFrame:
     """Fuse BM25 *hits* (id, session_id, turn_index, score), *latent* and *dense* (id, score) and assemble."""
     cut = hits.orderBy(F.desc("score"), "id").limit(retrieval.CANDIDATES)
-    best = retrieval.best_turn(cut)
+    best = materialise(retrieval.best_turn(cut), "best")  # at most CANDIDATES rows
     scored = retrieval.fuse(best.select(F.col("session_id").alias("id"), "score"), latent, dense)
     return assemble(scored, best, turns, facets, files, query_terms(query), filters or Filters(), limit)
 

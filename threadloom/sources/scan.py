@@ -14,7 +14,7 @@ def transcript_folder(home: str, repo_path: str) -> str:
 
 
 def file_state(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_path, file_name, byte_size, file_hash) of each transcript directly in *folder*."""
+    """(file_path, file_name, byte_size, file_hash) of each transcript directly in *folder*; empty files have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
     return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("file_hash"))
 
