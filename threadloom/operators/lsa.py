@@ -112,14 +112,14 @@ def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK) -> Ls
     if n_docs < 2 or n_terms < 2:
         return None
     k = min(rank, n_docs, n_terms)
-    rows = weights.join(F.broadcast(vocab.select("term", "idx")), "term").groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
+    rows = weights.join(vocab.select("term", "idx"), "term").groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
     rows = materialise(rows.select("idx", "w"), "rows")
     sigma, v = _right_factors(rows, n_terms, k)
     spark = docs.sparkSession
     vecs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n_terms)], "idx int, vec array<double>")
     n_all = float(docs.count())
     terms = vocab.join(vecs, "idx").select("term", "idx", (F.log(F.lit(n_all) / F.col("df")) + 1).alias("idf"), "vec").persist()
-    cells = weights.join(F.broadcast(terms.select("term", "vec")), "term").select("id", F.posexplode("vec").alias("dim", "x"), "w")
+    cells = weights.join(terms.select("term", "vec"), "term").select("id", F.posexplode("vec").alias("dim", "x"), "w")
     summed = cells.groupBy("id", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
     vectors = summed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "y"))), lambda c: c["y"]).alias("embedding"))
     return LsaModel(terms, sigma, vectors)

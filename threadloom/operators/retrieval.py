@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.durable import materialise
 from threadloom.functions.text import tokenize
 from threadloom.functions.vectors import cosine, literal
+from threadloom.tables import with_row
 
 #: Published Okapi parameters.
 K1, B = 1.2, 0.75
@@ -37,7 +38,7 @@ def bm25(post: DataFrame, lengths: DataFrame, terms: list[str], k: int | None =
     stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     mine = post.where(F.col("term").isin(sorted(set(terms))))
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    parts = mine.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))
+    parts = with_row(mine.join(F.broadcast(df), "term").join(lengths, "id"), stats)
     scored = parts.groupBy("id").agg(F.round(F.sum(_bm25_term(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
@@ -46,8 +47,8 @@ def bm25_scan(docs: DataFrame, id_col: str, text_col: str, terms: list[str], *ke
     """(id, *keep, score) of every document with one of *terms*, without an index.
 
     Term frequencies of the few query terms are counted inside each row, so nothing is
-    exploded or shuffled; the counts are written once, for the statistics (one row,
-    broadcast) and for the scores.
+    exploded or shuffled; the counts are written once, for the statistics (one row)
+    and for the scores.
     """
     terms = sorted(set(terms))
     toks = docs.select(F.col(id_col).alias("id"), *keep, tokenize(F.col(text_col)).alias("tokens"))
@@ -61,7 +62,7 @@ def bm25_scan(docs: DataFrame, id_col: str, text_col: str, terms: list[str], *ke
         score = score + F.when(F.col(f"tf{i}") > 0, part).otherwise(0.0)
     # A term's weight is above zero wherever it occurs. A filter on term frequencies would be
     # pushed below the tokeniser and run it once per term.
-    return rows.join(F.broadcast(stats)).select("id", *keep, F.round(score, 6).alias("score")).where("score > 0")
+    return with_row(rows, stats).select("id", *keep, F.round(score, 6).alias("score")).where("score > 0")
 
 
 def best_turn(hits: DataFrame, group: str = "session_id") -> DataFrame:
@@ -85,7 +86,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 2) -> DataF
     n = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "").agg(F.count("*").cast("double").alias("n"))
     vocab = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     known = tf.join(vocab, "term").withColumn("maxtf", F.max("tf").over(Window.partitionBy("id")))
-    return known.join(F.broadcast(n)).select("id", "term", ((0.5 + 0.5 * F.col("tf") / F.col("maxtf")) * (F.log(F.col("n") / F.col("df")) + 1)).alias("w"))
+    return with_row(known, n).select("id", "term", ((0.5 + 0.5 * F.col("tf") / F.col("maxtf")) * (F.log(F.col("n") / F.col("df")) + 1)).alias("w"))
 
 
 def tfidf_search(matrix: DataFrame, terms: list[str]) -> DataFrame:
@@ -117,4 +118,4 @@ def fuse(text: DataFrame, latent: DataFrame, dense: DataFrame | None = None) ->
     share = [F.when(F.col(f"m{i}") > 0, F.col(f"s{i}") / F.col(f"m{i}")).otherwise(0.0) for i in range(3)]
     three = sum((w * s for w, s in zip(WEIGHTS_3, share)), F.lit(0.0))
     two = sum((w * s for w, s in zip(WEIGHTS_2, share)), F.lit(0.0))
-    return per.join(F.broadcast(tops)).select("id", F.when(F.col("m2") > 0, three).otherwise(two).alias("score"))
+    return with_row(per, tops).select("id", F.when(F.col("m2") > 0, three).otherwise(two).alias("score"))

@@ -10,6 +10,7 @@ from threadloom.durable import materialise
 from threadloom.operators.sessions import WRITING_TOOLS
 from threadloom.plans.store import Store
 from threadloom.sources import scan, transcripts
+from threadloom.tables import with_row
 
 
 @dataclass
@@ -33,7 +34,7 @@ def capture(store: Store, folder: str, commit: Commit) -> int:
     """
     spark = store.spark
     files = materialise(scan.changed(scan.file_state(spark, folder), store.state(), store.table("sessions")), "files")
-    recs = transcripts.records(transcripts.read_lines(spark, folder).join(F.broadcast(files.select("file_name")), "file_name", "left_semi"))
+    recs = transcripts.records(transcripts.read_lines(spark, folder).join(files.select("file_name"), "file_name", "left_semi"))
     key = files.select("file_name", "file_hash", F.sha2(F.concat_ws("|", F.lit("session"), "file_hash"), 256).alias("session_id"))
     turns, calls = materialise(transcripts.turns(recs), "turns"), materialise(transcripts.tool_calls(recs), "calls")
     filled = turns.select("file_name").union(calls.select("file_name")).distinct()
@@ -56,16 +57,16 @@ def capture(store: Store, folder: str, commit: Commit) -> int:
         head = spark.createDataFrame([(commit.sha, commit.branch, commit.email, commit.ts)], "git_sha string, git_branch string, user_email string, at string")
         # The checkpoint is named after the commit and the sessions it holds.
         names = heads.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("session_id")), "|"), 256).alias("held"))
-        cp = head.join(F.broadcast(names)).select(
+        cp = with_row(head, names).select(
             F.sha2(F.concat_ws("|", "git_sha", "held"), 256).alias("id"), "git_sha", "git_branch", "user_email", F.col("at").cast("timestamp_ntz").alias("ts"), F.lit("human").alias("actor_type"), none.alias("agent_id")
         )
         cp = materialise(cp, "checkpoint")
         diff = scan.name_status(spark.createDataFrame([(x,) for x in commit.name_status], "value string"))
         wrote = calls.where(F.col("tool").isin(WRITING_TOOLS)).select("path")
         one = cp.select(F.col("id").alias("checkpoint_id"))
-        files_now = scan.touched(diff, wrote, commit.root).join(F.broadcast(one))
+        files_now = with_row(scan.touched(diff, wrote, commit.root), one)
         store.append("files_touched", files_now.select(F.sha2(F.concat_ws("|", "checkpoint_id", "file_path"), 256).alias("id"), "checkpoint_id", "file_path", "change_type"))
-        store.append("checkpoint_sessions", heads.select("session_id").join(F.broadcast(one)).select("checkpoint_id", "session_id"))
+        store.append("checkpoint_sessions", with_row(heads.select("session_id"), one).select("checkpoint_id", "session_id"))
         store.append("checkpoints", cp)
     store.append("checkpoint_state", new_state)
     return n
