@@ -216,7 +216,8 @@ def _nearest(vectors: DataFrame, digests: DataFrame, same: DataFrame, k: int, ef
     dealt = _dealt(single, cells, margin).repartition(max(n_graphs, 8), "model", "shard")
     answers = dealt.groupBy("model", "shard").applyInArrow(_answers(k, ef, ef_build, least), _ANSWER)
     w = Window.partitionBy("model", "session_id").orderBy(F.desc("cosine"), "neighbour")
-    return answers.dropDuplicates(["model", "session_id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # A neighbour is a member of one graph, which a vector visits once, so no answer comes twice.
+    return answers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def neighbours(embeddings: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16, margin: float = MARGIN, least: float = -1.0) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.durable import materialise
+from threadloom.tables import with_row
 
 BLOCK = 512
 MIN_TOGETHER, MIN_LIFT = 5, 3.0
@@ -68,7 +69,8 @@ def together(members: DataFrame) -> DataFrame:
     within = blocks.where(F.size("left") > 1).select("left", F.lit(None).cast("array<string>").alias("right"))
     long = blocks.where("n_blocks > 1").select("record", "block", "left")
     across = long.alias("x").join(long.alias("y"), (F.col("x.record") == F.col("y.record")) & (F.col("x.block") < F.col("y.block")))
-    work = within.unionByName(across.select(F.col("x.left").alias("left"), F.col("y.left").alias("right")).repartition(F.rand(7)))
+    spread = across.select(F.col("x.record"), F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.col("x.left").alias("left"), F.col("y.left").alias("right"))
+    work = within.unionByName(spread.repartition("record", "i", "j").select("left", "right"))
     stripes = work.mapInPandas(_stripes, "item string, beside map<string,bigint>")
     return stripes.select(F.col("item").alias("file_a"), F.explode("beside").alias("file_b", "c")).groupBy("file_a", "file_b").agg(F.sum("c").alias("c"))
 
@@ -92,7 +94,7 @@ def log_likelihood(c: Column, a: Column, b: Column, n: Column) -> Column:
 def _scored(pairs: DataFrame, support: DataFrame, n_records: DataFrame) -> DataFrame:
     a = support.select(F.col("item").alias("file_a"), F.col("n").alias("a"))
     b = support.select(F.col("item").alias("file_b"), F.col("n").alias("b"))
-    return pairs.join(a, "file_a").join(b, "file_b").join(F.broadcast(n_records))
+    return with_row(pairs.join(a, "file_a").join(b, "file_b"), n_records)
 
 
 def count_records(checkpoints: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def pairs(files_index: DataFrame, checkpoints: DataFrame, min_together: int = 1,
     support = members.groupBy("item").agg(F.count("*").alias("n"))
     n_records = count_records(checkpoints)
     if min_together > 1 or min_lift > 0:
-        ok = support.join(F.broadcast(n_records.withColumnRenamed("n", "total"))).where((F.col("n") >= min_together) & (F.col("n") * min_lift <= F.col("total")))
+        ok = with_row(support, n_records.withColumnRenamed("n", "total")).where((F.col("n") >= min_together) & (F.col("n") * min_lift <= F.col("total")))
         support = materialise(ok.select("item", "n"), "support")
         members = members.join(support.select("item"), "item", "left_semi")
     c, a, b, n = (F.col(x).cast("double") for x in ("c", "a", "b", "n"))

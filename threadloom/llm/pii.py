@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.durable import materialise
+from threadloom.tables import with_row
 
 #: Least information in bits, and least share of a term's uses that stand beside a protected entity.
 MIN_BITS, MIN_SHARE = 5.0, 0.02
@@ -112,8 +113,8 @@ def disclosure(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = turns.where("id is not null and content is not null").select(F.col("id").alias("turn_id"), F.explode(words).alias("given"))
     hits = materialise(terms.join(givens, "given"), "hits")
     # The base rate: protected names per turn, one row.
-    base = seen.agg(F.sum("n").alias("all_slots")).join(F.broadcast(turns.agg(F.count("*").alias("n_turns"))))
-    per = hits.groupBy("given").agg(F.count("*").alias("n_uses"), F.first("n_slots").alias("n_slots")).join(F.broadcast(base))
+    base = with_row(seen.agg(F.sum("n").alias("all_slots")), turns.agg(F.count("*").alias("n_turns")))
+    per = with_row(hits.groupBy("given").agg(F.count("*").alias("n_uses"), F.first("n_slots").alias("n_slots")), base)
     share = F.col("n_slots") / F.col("n_uses")
     # A word's chance to stand in a slot: about 25 words a turn.
     bits = F.log2(share / (F.col("all_slots") / (F.col("n_turns") * 25.0)))
