@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,16 @@ def session(app: str = "threadloom", master: str | None = None, **conf: str) ->
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="spark-threadloom-"), "threadloom")
+        spark.sparkContext.addPyFile(shutil.make_archive(out, "zip", os.path.dirname(here), "threadloom"))
+        _SHIPPED.add(app)
