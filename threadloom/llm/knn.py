@@ -25,9 +25,9 @@ CELL, GRAPH = 4096, 8192
 #: The index is fitted on at most SAMPLE vectors per model, and has one cell per SAMPLE_PER_CELL of them at most.
 SAMPLE, SAMPLE_PER_CELL, ROUNDS = 40_000, 16, 10
 #: A vector visits the cells whose centre is at most MARGIN less similar than the nearest centre.
-MARGIN = 0.06
-#: Beam and neighbours of a search.
-K, EF = 6, 12
+MARGIN = 0.08
+#: Neighbours and beam of a search, and beam at insertion.
+K, EF, EF_BUILD = 6, 16, 20
 MIN_COSINE = 0.90
 
 
@@ -220,7 +220,7 @@ def _nearest(vectors: DataFrame, digests: DataFrame, same: DataFrame, k: int, ef
     return answers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def neighbours(embeddings: DataFrame, k: int = K, ef: int = EF, ef_build: int = 16, margin: float = MARGIN, least: float = -1.0) -> DataFrame:
+def neighbours(embeddings: DataFrame, k: int = K, ef: int = EF, ef_build: int = EF_BUILD, margin: float = MARGIN, least: float = -1.0) -> DataFrame:
     """(model, session_id, neighbour, cosine, rank): the k nearest of each vector, among one of each group of copies.
 
     Of differing vectors of one session the latest counts. Rows below the cosine *least*
@@ -240,7 +240,7 @@ def found(embeddings: DataFrame, least: float = MIN_COSINE) -> DataFrame:
     """(model, session_a, session_b): pairs of sessions with a cosine of at least *least*, session_a < session_b."""
     vectors, digests = usable(embeddings)
     same = materialise(copies(current(digests)), "copies")
-    near = _nearest(vectors, digests, same, K, EF, 16, MARGIN, least).select("model", F.col("session_id").alias("x"), F.col("neighbour").alias("y"))
+    near = _nearest(vectors, digests, same, K, EF, EF_BUILD, MARGIN, least).select("model", F.col("session_id").alias("x"), F.col("neighbour").alias("y"))
     a = same.select("model", F.col("rep").alias("x"), F.col("session_id").alias("xs"))
     b = same.select("model", F.col("rep").alias("y"), F.col("session_id").alias("ys"))
     spread = near.join(a, ["model", "x"], "left").join(b, ["model", "y"], "left").select("model", F.coalesce("xs", "x").alias("x"), F.coalesce("ys", "y").alias("y"))
