@@ -19,12 +19,19 @@ TERMS = query_terms(QUERY)
 PATH = r"auth.*\.go$"
 
 
-def distinct(name: str):
-    """A table with repeated rows folded, as the model's keys demand."""
-    return lambda s, d: load(s, d, name).distinct()
+def rows(name: str, *columns: str):
+    """A table as it is, for operators that fold repeated rows themselves; with *columns*, these alone and distinct."""
+    if not columns:
+        return lambda s, d: load(s, d, name)
+    return lambda s, d: load(s, d, name).select(*columns).distinct()
 
 
-turns, calls, sessions, checkpoints, files = (distinct(n) for n in ("turns", "tool_calls", "sessions", "checkpoints", "files_index"))
+turns, calls, sessions, checkpoints, files = (rows(n) for n in ("turns", "tool_calls", "sessions", "checkpoints", "files_index"))
+# Rows whose number counts: only the columns in use are read and compared, ids among them.
+said = rows("turns", "id", "session_id", "turn_index", "content")
+placed = rows("turns", "id", "session_id", "turn_index", "ts", "role")
+called = rows("tool_calls", "id", "session_id", "tool", "path")
+touched = rows("files_index", "checkpoint_id", "session_id", "file_path", "change_type")
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
@@ -32,7 +39,7 @@ def texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def hits(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_scan(turns(s, d), "id", "content", TERMS, "session_id", "turn_index").orderBy(F.desc("score"), "id").limit(retrieval.CANDIDATES)
+    return retrieval.bm25_scan(said(s, d), "id", "content", TERMS, "session_id", "turn_index").orderBy(F.desc("score"), "id").limit(retrieval.CANDIDATES)
 
 
 def text_scores(s: SparkSession, d: str) -> DataFrame:
@@ -92,7 +99,7 @@ def dense_by_label(s: SparkSession, d: str) -> DataFrame:
 
 
 def dict_round_trip(s: SparkSession, d: str) -> DataFrame:
-    f = files(s, d).where("file_path is not null")
+    f = touched(s, d).where("file_path is not null")
     words = codes.dictionary(f, "file_path", "checkpoint_id")
     coded = codes.encode(f.select("checkpoint_id", "session_id", "file_path"), "file_path", words, "ref")
     return codes.decode(coded, "ref", words, "file_path").groupBy("file_path").agg(F.count("*").alias("n"))
@@ -107,8 +114,8 @@ def upsert_state(s: SparkSession, d: str) -> DataFrame:
 
 def union_merge(s: SparkSession, d: str) -> DataFrame:
     """Two members' sessions that overlap, merged."""
-    x = sessions(s, d).select("id", "user_email", "branch")
-    mine, theirs = x.where("actor_type = 'human' or branch like 'fix/%'") if "actor_type" in x.columns else x.where("branch like 'fix/%'"), x.where("branch is null or branch not like 'fix/c%'")
+    x = sessions(s, d).select("id", "user_email", "branch").distinct()
+    mine, theirs = x.where("branch like 'fix/%'"), x.where("branch is null or branch not like 'fix/c%'")
     return mine.unionByName(theirs.join(mine.select("id"), "id", "left_anti"))
 
 
@@ -120,11 +127,11 @@ def export_held(s: SparkSession, d: str) -> DataFrame:
 def import_new(s: SparkSession, d: str) -> DataFrame:
     """Turns of sessions that a store of the sessions before June lacks: the anti join of an import."""
     have = sessions(s, d).where("captured_at < timestamp_ntz'2025-06-01 00:00:00'").select(F.col("id").alias("session_id"))
-    return turns(s, d).join(have, "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n_turns"))
+    return placed(s, d).join(have, "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n_turns"))
 
 
 def name_status(s: SparkSession, d: str) -> DataFrame:
-    lines = files(s, d).where("file_path is not null and change_type is not null").select(F.concat("change_type", F.lit("\t"), "file_path").alias("value"))
+    lines = touched(s, d).where("file_path is not null and change_type is not null").select(F.concat("change_type", F.lit("\t"), "file_path").alias("value"))
     return scan.name_status(lines).groupBy("change_type").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("n_paths"))
 
 
@@ -139,11 +146,11 @@ def json_fallback(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "tokenize_terms": lambda s, d: turns(s, d).select("id", F.posexplode(tokenize(F.col("content"))).alias("pos", "term")),
+    "tokenize_terms": lambda s, d: said(s, d).select("id", F.posexplode(tokenize(F.col("content"))).alias("pos", "term")),
     "term_doc_freq": lambda s, d: retrieval.term_counts(load(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")),
-    "postings": lambda s, d: retrieval.postings(turns(s, d))[0],
+    "postings": lambda s, d: retrieval.postings(said(s, d))[0],
     "bm25_turns": lambda s, d: hits(s, d),
-    "bm25_index_turns": lambda s, d: retrieval.bm25(*retrieval.postings(turns(s, d)), TERMS),
+    "bm25_index_turns": lambda s, d: retrieval.bm25(*retrieval.postings(said(s, d)), TERMS),
     "bm25_best_turn": lambda s, d: retrieval.best_turn(hits(s, d)),
     "bm25_documents": lambda s, d: retrieval.bm25_scan(load(s, d, "documents"), "doc_id", "text", TERMS).orderBy(F.desc("score"), "id").limit(20),
     "tfidf_matrix": lambda s, d: retrieval.tfidf(texts(s, d), "session_id", "content").select("id", "term", F.round("w", 6).alias("w")),
@@ -161,16 +168,16 @@ QUERIES = {
     "hybrid_ranked_filtered": lambda s, d: hybrid(s, d, search.Filters(file=r"\.go$", actor="human")).drop("snippet"),
     "filter_search": lambda s, d: ops.browse(facets(s, d), files(s, d), turns(s, d), actor="human", file=PATH).drop("snippet"),
     "session_text": lambda s, d: texts(s, d).select("session_id", F.sha2("content", 256).alias("digest")),
-    "session_totals": lambda s, d: turns(s, d).groupBy("session_id", F.lower(F.trim("role")).alias("role")).agg(F.count("*").alias("n")),
-    "turns_page": lambda s, d: ops.paged(turns(s, d), 2, 5).select("id", "session_id", "turn_index"),
-    "turns_page_role": lambda s, d: ops.paged(turns(s, d), 0, 3, "human").select("id", "session_id", "turn_index"),
+    "session_totals": lambda s, d: placed(s, d).groupBy("session_id", F.lower(F.trim("role")).alias("role")).agg(F.count("*").alias("n")),
+    "turns_page": lambda s, d: ops.paged(placed(s, d), 2, 5).select("id", "session_id", "turn_index"),
+    "turns_page_role": lambda s, d: ops.paged(placed(s, d), 0, 3, "human").select("id", "session_id", "turn_index"),
     "checkpoint_log": lambda s, d: ops.checkpoint_log(checkpoints(s, d), files(s, d)),
     "log_report": lambda s, d: ops.log_report(ops.checkpoint_log(checkpoints(s, d), files(s, d))),
     "session_facets": facets,
     "files_index_supplement": lambda s, d: ops.files_supplement(calls(s, d), files(s, d)),
-    "file_cooccurrence": lambda s, d: ops.file_cooccurrence(calls(s, d)),
-    "cooccurrence_neighbours": lambda s, d: ops.neighbours_of(ops.file_cooccurrence(calls(s, d)), PATH, 20),
-    "semi_join_regex": lambda s, d: sessions(s, d).join(files(s, d).where(F.col("file_path").rlike(PATH)).select(F.col("session_id").alias("id")), "id", "left_semi").select("id", "user_email"),
+    "file_cooccurrence": lambda s, d: ops.file_cooccurrence(called(s, d)),
+    "cooccurrence_neighbours": lambda s, d: ops.neighbours_of(ops.file_cooccurrence(called(s, d)), PATH, 20),
+    "semi_join_regex": lambda s, d: sessions(s, d).select("id", "user_email").distinct().join(files(s, d).where(F.col("file_path").rlike(PATH)).select(F.col("session_id").alias("id")), "id", "left_semi"),
     "content_hash_dedup": lambda s, d: ops.dedup_by_hash(load(s, d, "documents"), "doc_id", "text"),
     "session_files": lambda s, d: ops.session_files(files(s, d)),
     "snippet_first": lambda s, d: ops.first_turns(turns(s, d)).select("session_id", F.sha2("snippet", 256).alias("digest")),
@@ -181,7 +188,7 @@ QUERIES = {
     "union_merge": union_merge,
     "dict_encode": lambda s, d: codes.dictionary(files(s, d), "change_type", "checkpoint_id"),
     "dict_decode": dict_round_trip,
-    "enum_codes": lambda s, d: calls(s, d).groupBy(codes.code(F.col("tool"), codes.TOOL_CODES).cast("bigint").alias("code")).agg(F.count("*").alias("n")),
+    "enum_codes": lambda s, d: called(s, d).groupBy(codes.code(F.col("tool"), codes.TOOL_CODES).cast("bigint").alias("code")).agg(F.count("*").alias("n")),
     "sanitise_paths": lambda s, d: calls(s, d).where("path <> ''").select(sanitise_path(F.col("path")).alias("name")).distinct(),
     "name_status": name_status,
     "export_delta": export_held,
@@ -278,7 +285,21 @@ tool AS (SELECT file_name, line_no, pos, coalesce(json_extract_string(b, '$.name
   coalesce(nullif(json_extract_string(b, '$.input.file_path'), ''), json_extract_string(b, '$.input.path'), '') AS path, coalesce(json_extract_string(b, '$.input.command'), '') AS command
   FROM blk WHERE type = 'assistant' AND role = 'assistant' AND json_extract_string(b, '$.type') = 'tool_use')"""
 
+_CUT = "left(text, list_max(list_filter(range(0, 301), lambda k: strlen(left(text, k)) <= 300))) || '...'"
+
 SQL = {
+    "snippet_first": f"""SELECT session_id, sha256(CASE WHEN strlen(text) <= 300 THEN text ELSE {_CUT} END) AS digest FROM (SELECT session_id, content AS text,
+        row_number() OVER (PARTITION BY session_id ORDER BY coalesce(turn_index, 2147483647), ts NULLS FIRST, id) AS k FROM turns) WHERE k = 1""",
+    "snippet_kwic": f"""WITH d AS (SELECT doc_id, text, length(text) AS n, CASE WHEN strlen(text) > 300 THEN
+          list_min(list_filter([{', '.join(f"strpos(lower(text), '{t}')" for t in TERMS)}], lambda x: x > 0)) - 1 END AS hit FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT *, least(greatest(hit - 150, 0) + 300, n) AS z FROM d),
+        s AS (SELECT *, greatest(least(hit - 150, z - 300), 0) AS a FROM e),
+        g AS (SELECT *, strpos(substr(text, a + 1, z - a), ' ') AS gap FROM s),
+        h AS (SELECT * REPLACE (CASE WHEN a > 0 AND gap > 0 THEN a + gap ELSE a END AS a) FROM g),
+        b AS (SELECT *, strpos(reverse(substr(text, a + 1, z - a)), ' ') AS back FROM h),
+        f AS (SELECT * REPLACE (CASE WHEN z < n AND back > 0 THEN z - back + 1 ELSE z END AS z) FROM b)
+        SELECT doc_id, CASE WHEN hit IS NOT NULL THEN (CASE WHEN a > 0 THEN '...' ELSE '' END) || substr(text, a + 1, z - a) || (CASE WHEN z < n THEN '...' ELSE '' END)
+          WHEN strlen(text) <= 300 THEN text ELSE {_CUT} END AS snippet FROM f""",
     "hybrid_ranked": _hybrid_sql("true"),
     "hybrid_ranked_filtered": _hybrid_sql("f.actor_type = 'human' AND f.session_id IN (SELECT session_id FROM files_index WHERE regexp_matches(file_path, '\\.go$'))"),
     "parse_transcript_tools": f"""WITH {_RECORDS}, {_BLOCKS} SELECT file_name, (row_number() OVER (PARTITION BY file_name ORDER BY line_no, pos) - 1)::INT AS call_order, tool, path,
