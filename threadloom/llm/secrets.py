@@ -25,6 +25,8 @@ from threadloom.llm.tokens import DEFAULT_DIR, chars_per_subword
 CUT = 100
 #: Strings with fewer characters per subword are unnatural; words and identifiers have more.
 UNNATURAL = 2.9
+#: A string of letters and digits may be made of words, with fewer characters per subword than this.
+WORDY = 7.0
 
 #: What no credential can stand without; kept in step with the rules below.
 HINT = (
@@ -45,7 +47,7 @@ _ASSIGN = re.compile(
 )
 _STRONG_NAME = re.compile(r"(?i)pass|pwd|secret|token|cred|api|access|auth|private|signing|_key$|-key$|[a-z0-9]Key$|pw$")
 _NAME_VALUE = re.compile(r"(?i)(?:name|key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_.\-]*" + _CRED + r"[\"']?,?\s+[\"']?value[\"']?\s*[:=]\s*(?P<q>[\"']?)(?P<v>[^\"'\s>]+)")
-_HEADER = re.compile(r"(?i)\b(?P<kind>bearer|basic|token)\s+(?P<v>[A-Za-z0-9._~+/=\-]+)")
+_HEADER = re.compile(r"(?i)\b(?P<kind>bearer|basic|authorization[\"']?\s*[:=,]\s*[\"']?token)\s+(?P<v>[^\s\"'`,;&<>()\[\]{}|]+)")
 _URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s:/@\"'<>{}$]*:(?P<v>[^\s@\"'<>{}/]+)@")
 _URL_CUT = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s:/@\"'<>{}$]+:(?P<v>[^\s@\"'<>{}/]+)\Z")
 _URL_USER = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://(?P<v>[^\s:/@\"'<>{}$]{16,})@")
@@ -66,7 +68,7 @@ _REMARKS = [
 # Values that stand for a credential and are none.
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[\W_]*$|x{4,}$|<|\$|%|\{|\[|your[_-]|my[_-]|(?:your|change[_-]?(?:me|it)|example|sample|placeholder|dummy|redacted|masked|hidden|secret|password|passwd|pass|token|none|null|nil|true|false|undefined|todo|tbd|n/?a)\d{0,3}$|"
-    r"(?:os|process|env|config|settings|vault|self|ctx|secrets|app|req|request|this|options|opts|args|params|conf|cfg|r|c|s|ssm|kms|op|aws-?sm)[.:\[(/]|arn:|ref\+|\./|~/|file:|https?:)"
+    r"(?:os|process|env|config|settings|vault|self|ctx|secrets|app|req|request|this|options|opts|args|params|conf|cfg|ssm|kms|op|aws-?sm)[.:\[(/]|[rcs][.\[(]|arn:|ref\+|\./|~/|file:|https?:)"
 )
 _TRAIL = ".,:;"
 
@@ -89,8 +91,8 @@ def _credential_like(v: str, strength: int, folder: str, at_cut: bool = False) -
     if strength == 3:
         return (digits > 0 and len(v) >= 6) or special or (cps < UNNATURAL and len(v) >= 8)
     if strength == 2:
-        return len(v) >= 8 and ((digits > 0 and (cps < 3.6 or special)) or (special and cps < UNNATURAL) or (cps < UNNATURAL and len(v) >= 12))
-    return len(v) >= 8 and ((digits > 0 and cps < 4.2) or (special and cps < UNNATURAL) or (cps < 2.4 and len(v) >= 12))
+        return len(v) >= 8 and ((digits > 0 and (cps < WORDY or special)) or (special and cps < UNNATURAL) or (cps < UNNATURAL and len(v) >= 12))
+    return len(v) >= 8 and ((digits > 0 and cps < WORDY) or (special and cps < UNNATURAL) or (cps < 2.4 and len(v) >= 12))
 
 
 def spans(text: str | None, folder: str = DEFAULT_DIR, cut: bool = False) -> list[tuple[int, int]]:
@@ -130,7 +132,7 @@ def spans(text: str | None, folder: str = DEFAULT_DIR, cut: bool = False) -> lis
     for m in _KNOWN.finditer(text):
         add(m, 0, 3, 3)
     for m in _HEADER.finditer(text):
-        add(m, "v", 3, 3 if m["kind"].lower() == "bearer" else 2)
+        add(m, "v", 3, 2 if m["kind"].lower() == "basic" else 3)
     for m in _ASSIGN.finditer(text):
         strong = 3 if _STRONG_NAME.search(m["name"]) else 2
         add(m, "quoted" if m["quoted"] is not None else "bare", 4, strong)
