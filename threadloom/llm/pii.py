@@ -42,16 +42,18 @@ _ID_LABEL = (
     r"|passport(?: no\.?| number)?|Reisepass(?:nummer| Nr\.?)?|pasaporte|passeport(?: n°)?|driv(?:er|ing)'?s? licen[cs]e(?: no\.?| number)?|F(?:ü|ue)hrerschein(?:nummer)?|permis de conduire|Personalausweis(?:nummer)?|ID card(?: no\.?)?)"
 )
 _ID_VALUE = r"(\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{8}-?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]-\d{4}-\d{4}|[XYZ]\d{7}[A-Z]|[A-Z]{1,3}\d{6,9}|\d{9,11})(?![\p{L}\p{N}]|-\d)"
-ID_NUMBER = rf"(?i:\b{_ID_LABEL})\s*[:=#]?\s*{_ID_VALUE}"
+ID_NUMBER = rf"(?i:(?=[sdntprfi])\b{_ID_LABEL})\s*[:=#]?\s*{_ID_VALUE}"
 # Street words in four languages.
 _EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Close|Crescent|Way|Drive|Dr|Terrace|Place|Square|Boulevard|Blvd|Row|Mews|Grove|Gardens)"
 _FR = r"(?:rue|avenue|boulevard|place|chemin|all[ée]e|quai|impasse|cours|route)"
 _LINK = r"(?:(?:de la|de l'|du|des|de|d') ?)?"
 _CAP = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
 ADDRESS = (
+    r"(?=[\p{Lu}\d])(?:"  # skips fast where none can start
     rf"(?<![\p{{L}}\p{{N}}_.,/:-])\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,2}}{_EN}(?![\p{{L}}\p{{N}}_])(?! (?:workers?|runners?|jobs?|tasks?|slots?|nodes?|threads?|queues?|entries|items|lanes)\b)"
     rf"|(?:\b(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrer|Ronda)|\bC/) ?(?:(?:de la|de los|de las|del|de|la|las|los|el) )?{_CAP}(?: {_CAP}){{0,3}},? (?:n\.? ?º ?)?\d{{1,4}}[A-Za-z]?(?![\p{{L}}\p{{N}}])"
     rf"|\b(?:(?:Am|An der|An den|Auf der|Auf dem|Zum|Zur|Unter den|In der|Alte|Alter|Neue) {_CAP}|{_CAP}(?:straße|strasse|str\.|weg|stieg|steig|allee|gasse|platz|ring|damm|ufer|hang|berg|hof)) \d{{1,4}}[a-zA-Z]?(?![\p{{L}}\p{{N}}]|[.,:-]\d| \d)"
+    r")"
 )
 FRENCH = rf"(?<![\p{{L}}\p{{N}}_.,/:-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?i:{_FR}) {_LINK}{_CAP}(?: {_CAP})?"
 
@@ -74,7 +76,7 @@ def shaped(turns: DataFrame) -> DataFrame:
     every = F.concat(
         F.when(has_at, _values("email", t, EMAIL)).otherwise(none),
         F.when(t.rlike(r"\d{3}|\d[. ]\d\d[. ]"), _values("phone", t, PHONE)).otherwise(none),
-        F.when(t.rlike(rf"(?i){_ID_LABEL}") & has_digit, _values("id_number", t, ID_NUMBER, 1)).otherwise(none),
+        F.when(t.rlike(rf"(?i)(?=[sdntprfi]){_ID_LABEL}") & has_digit, _values("id_number", t, ID_NUMBER, 1)).otherwise(none),
         F.when(t.rlike(r"\d[A-Za-z]? \p{Lu}|\p{L},? \d"), _values("address", t, ADDRESS)).otherwise(none),
         F.when(t.rlike(rf"\d,? (?i:{_FR}) "), _values("french", t, FRENCH)).otherwise(none),
     )
