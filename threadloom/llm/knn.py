@@ -27,7 +27,7 @@ SAMPLE, SAMPLE_PER_CELL, ROUNDS = 40_000, 16, 10
 #: A vector visits the cells whose centre is at most MARGIN less similar than the nearest centre.
 MARGIN = 0.08
 #: Neighbours and beam of a search, and beam at insertion.
-K, EF, EF_BUILD = 6, 16, 20
+K, EF, EF_BUILD = 6, 12, 16
 MIN_COSINE = 0.90
 
 
