@@ -20,6 +20,7 @@ QUERIES = {
     "p5_conversations": lambda s, d: conversations.conversations(load(s, d, "turns")),
     "p7_found": lambda s, d: pairs.found(load(s, d, "files_index"), load(s, d, "checkpoints")),
     "p7_pairs": lambda s, d: pairs.pairs(load(s, d, "files_index"), load(s, d, "checkpoints"), min_together=2).withColumns({c: F.round(c, 6) for c in ("lift", "llr")}),
+    "p7_all_pairs": lambda s, d: pairs.pairs(load(s, d, "files_index"), load(s, d, "checkpoints")).withColumns({c: F.round(c, 6) for c in ("lift", "llr")}),
     "p7_cache_differences": lambda s, d: pairs.cache_differences(load(s, d, "files_index"), load(s, d, "checkpoints"), load(s, d, "file_cooccurrence")),
     "p8_containers": lambda s, d: packing.pack(load(s, d, "documents"), load(s, d, "pack_limits")),
     "p8_fill": lambda s, d: packing.fill(packing.pack(load(s, d, "documents"), load(s, d, "pack_limits")), load(s, d, "pack_limits")),
@@ -49,6 +50,12 @@ def _xlogx(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
 
 
+def _pairs_sql(where: str = "") -> str:
+    return _MEMBERS + f""", x AS (SELECT file_a, file_b, c, a.n AS a, b.n AS b, total.n AS n FROM pair JOIN support a ON a.item = file_a JOIN support b ON b.item = file_b, total{where})
+SELECT file_a, file_b, c, a, b, n, round(c * n::DOUBLE / (a * b), 6) AS lift,
+  round(greatest(0, 2 * ({" + ".join(map(_xlogx, ["n", "c", "a - c", "b - c", "n - a - b + c"]))} - {" - ".join(map(_xlogx, ["a", "n - a", "b", "n - b"]))})), 6) AS llr FROM x"""
+
+
 SQL = {
     "p5_found": r"""
 WITH t AS (
@@ -74,10 +81,8 @@ WHERE p.session_id IS NULL OR NOT p.seen OR p.n <> p.places OR p.indexed NOT IN
     "p7_found": _MEMBERS
     + """SELECT file_a, file_b FROM pair JOIN support a ON a.item = file_a JOIN support b ON b.item = file_b, total
          WHERE c >= 5 AND c * total.n >= 3 * a.n * b.n""",
-    "p7_pairs": _MEMBERS
-    + f""", x AS (SELECT file_a, file_b, c, a.n AS a, b.n AS b, total.n AS n FROM pair JOIN support a ON a.item = file_a JOIN support b ON b.item = file_b, total WHERE c >= 2)
-SELECT file_a, file_b, c, a, b, n, round(c * n::DOUBLE / (a * b), 6) AS lift,
-  round(greatest(0, 2 * ({" + ".join(map(_xlogx, ["n", "c", "a - c", "b - c", "n - a - b + c"]))} - {" - ".join(map(_xlogx, ["a", "n - a", "b", "n - b"]))})), 6) AS llr FROM x""",
+    "p7_pairs": _pairs_sql(" WHERE c >= 2"),
+    "p7_all_pairs": _pairs_sql(),
     "p7_cache_differences": _MEMBERS
     + """, kept AS (
   SELECT least(file_a, file_b) AS file_a, greatest(file_a, file_b) AS file_b, max("count")::BIGINT AS cached, bool_or(file_a > file_b) AS turned
