@@ -85,3 +85,27 @@ def test_hierarchy_empty_and_long_chain(spark):
     long = [(f"N{i}", f"N{i - 1}" if i else None) for i in range(300)]
     got = {r.session_id: r.depth for r in hierarchy.found(spark.createDataFrame(long, schema)).collect()}
     assert got == {f"N{i}": i for i in range(1, 300)}
+
+
+def test_no_field_is_lost(spark):
+    block = {"type": "t", "x": 1, "y": {"z": [1.5, 2]}, "ok": True, "n": None, "list": ["b", "a"]}
+    lines = [{"uuid": "u", "snap": {"k": [7]}, "message": {"role": "user", "content": "plain"}}, {"message": {"usage": {"in": 3}, "content": ["bare", block, {"type": "t", "x": "s", "more": 10**20}]}}, {"message": "word"}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "line_id bigint, raw_line string")
+    top = {r.line_id: r for r in nested.messages(df).collect()}
+    assert top[0].content == "plain" and top[0].attrs == {"uuid": "u", "snap.k[0]": "7", "message.role": "user", "message.content": "plain"}
+    assert top[1].content is None and top[1].attrs == {"message.usage.in": "3", "message.content[0]": "bare"} and top[2].attrs == {"message": "word"}
+    nodes = nested.shred(df, with_kinds=True)
+    a, b = sorted(nested.typed(nodes, "content:t").collect(), key=lambda r: r.node_path)
+    assert (a.x_number, a.x_text, a.y_z_list, a.ok, a.n, a["list_list"], a.more) == (1, None, [1.5, 2.0], True, None, ["b", "a"], None)
+    assert (b.x_number, b.x_text, b.y_z_list, b.ok, b.more) == (None, "s", None, None, "1" + "0" * 20)
+    route = {r.shape: r.fields for r in nested.routes(nodes).collect()}
+    assert "x:number" in route[a.shape] and "x:text" in route[b.shape]
+
+
+def test_every_variant_of_the_data_has_its_table(spark, data):
+    import __spark_entry__ as entry
+    from threadloom.queries.hierarchies import TYPED
+
+    q = entry.queries()
+    assert {r.variant for r in q["p1_routes"](spark, data).collect()} <= set(TYPED.values())
+    assert {"old_string", "new_string"} <= set(q["p1_edits"](spark, data).columns) and "attrs" in q["p1_elements"](spark, data).columns

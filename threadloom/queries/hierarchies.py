@@ -5,14 +5,27 @@ from __future__ import annotations
 from threadloom.operators import hierarchy, nested
 from threadloom.tables import load
 
+#: The typed table of each variant the transcripts have; p1_routes lists the variants and states met.
+TYPED = {
+    "p1_tool_uses": "content:tool_use",
+    "p1_tool_results": "content:tool_result",
+    "p1_texts": "content:text",
+    "p1_thinking": "content:thinking",
+    "p1_images": "content:image",
+} | {f"p1_{v}": v for v in ("edits", "todos", "questions", "options", "steps", "after", "parts", "tags")}
+
+
+def _typed(variant: str):
+    return lambda s, d: nested.typed(nested.shred(load(s, d, "transcript_lines"), with_kinds=True), variant)
+
+
 QUERIES = {
     "p1_found": lambda s, d: nested.found(load(s, d, "transcript_lines")),
     "p1_messages": lambda s, d: nested.messages(load(s, d, "transcript_lines")),
-    "p1_elements": lambda s, d: nested.shred(load(s, d, "transcript_lines")).drop("attrs"),
+    "p1_elements": lambda s, d: nested.shred(load(s, d, "transcript_lines")),
     "p1_variants": lambda s, d: nested.shapes(nested.shred(load(s, d, "transcript_lines"))),
-    "p1_tool_uses": lambda s, d: nested.subtype(
-        nested.shred(load(s, d, "transcript_lines")), "content:tool_use", {"input.command": "string", "input.file_path": "string", "input.path": "string", "input.timeout": "bigint"}
-    ),
+    "p1_routes": lambda s, d: nested.routes(nested.shred(load(s, d, "transcript_lines"), with_kinds=True)),
+    **{name: _typed(variant) for name, variant in TYPED.items()},
     "p6_found": lambda s, d: hierarchy.found(load(s, d, "sessions")),
     "p6_hierarchy": lambda s, d: hierarchy.hierarchy(load(s, d, "sessions")),
     "p6_descendants": lambda s, d: hierarchy.descendants(hierarchy.resolve(hierarchy.parent_pointers(load(s, d, "sessions")), with_path=True)),
