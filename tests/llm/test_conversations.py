@@ -89,3 +89,24 @@ def test_conversations(spark, monkeypatch):
     assert [(r.session_id, r.position, r.role, r.content) for r in got] == [("a", i, "human" if i % 2 == 0 else "assistant", f"c{i}") for i in range(6)]
     assert [r.segment for r in got] == [0, 0, 0, 1, 1, 1]
     assert conv.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_gaps_and_roles_cross_chunks(spark, monkeypatch):
+    monkeypatch.setattr(conv, "CHUNK_TURNS", 3)
+    h, a = "human", "assistant"
+    spec = {
+        "timed": [(None, h, "q", 0), (None, a, "r", 10), (None, h, "q2", 9000), (None, a, "r2", 9010), (None, "", "s", 20000), (None, a, "r3", 20010)],
+        "hot": [(i, r, f"c{i}", i * 10 + (5000 if i >= 6 else 0)) for i, r in enumerate([h, a, h, "", a, h, a, a])],
+    }
+    got = {}
+    for r in conv.conversations(spark.createDataFrame(rows(spec), SCHEMA)).orderBy("position").collect():
+        got.setdefault(r.session_id, []).append((r.position, r.segment, r.role))
+    assert got["timed"] == [(0, 0, h), (1, 0, a), (2, 1, h), (3, 1, a), (4, 2, h), (5, 2, a)]
+    assert got["hot"] == [(i, int(i >= 6), r) for i, r in enumerate([h, a, h, a, a, h, a, a])]
+
+
+def test_break_of_the_gaps():
+    bulk = {8: 1000, 14: 10000, 15: 13900, 16: 9585, 17: 410, 18: 114, 19: 13, 20: 8, 21: 7}
+    pauses = {23: 103, 24: 177, 32: 10, 40: 76}
+    assert conv.gap_break(bulk | pauses) == 2.0**11.25
+    assert conv.gap_break(bulk) is None and conv.gap_break({}) is None

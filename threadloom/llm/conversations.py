@@ -8,16 +8,19 @@ session. Order is turn_index, or ts in sessions that have no turn_index.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.durable import materialise
-from threadloom.tables import with_row
 
 #: Places per chunk: turns of an indexed session, or the microseconds of one hour.
 CHUNK_TURNS, CHUNK_MICROS = 4096, 3_600_000_000
-#: The inactivity gap is this quantile of all gaps between neighbouring turns.
+#: The inactivity gap where the gaps between neighbouring turns show no break: this quantile of them.
 GAP_QUANTILE = 0.999
+#: Bins of an octave of gaps; the gaps a bin beyond a break holds at least, or the empty bins a break has.
+BINS, BEYOND, EMPTY = 2, 20, 4
 # Spellings of the two speaker roles, lower case.
 HUMAN = ["human", "user"]
 ASSISTANT = ["assistant"]
@@ -110,24 +113,66 @@ def found(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     return ids.join(judge(turns), "session_id", "left").where(F.coalesce("broken", F.lit(True))).select("session_id")
 
 
+def gap_break(counts: dict[int, int]) -> float | None:
+    """The gap in seconds at the first break of a histogram {floor(BINS * log2(gap)): n}, None if there is none.
+
+    Beyond the most frequent bin the counts fall; the break is the lowest place before
+    they rise to more than twice as much again (the pauses), or a stretch of EMPTY bins.
+    """
+    if not counts:
+        return None
+    mode = max(counts, key=lambda b: (counts[b], -b))
+    last = max(counts)
+    for b in range(mode + 1, last):
+        here = counts.get(b, 0)
+        beyond = max(range(b + 1, last + 1), key=lambda x: (counts.get(x, 0), -x))
+        most = counts.get(beyond, 0)
+        if most >= BEYOND and most > 2 * here:
+            valley = range(b, beyond)
+        elif here == 0 and all(x not in counts for x in range(b, b + EMPTY)):
+            valley = range(b, min(x for x in counts if x > b))
+        else:
+            continue
+        low = min(counts.get(x, 0) for x in valley)
+        first = next(x for x in valley if counts.get(x, 0) == low)
+        end = first
+        while end + 1 in valley and counts.get(end + 1, 0) == low:
+            end += 1
+        return 2.0 ** ((first + end + 1) / 2 / BINS)
+    return None
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """The kept conversations as rows (session_id, position, segment, role, content, ts).
 
     ``position`` runs 0, 1, 2, ...; ``segment`` rises by one after each gap longer than
-    the inactivity gap, which is calibrated on all gaps of the corpus. A turn that
-    states no role speaks for the other side of the turn before it.
+    the inactivity gap, which is calibrated on all gaps of the corpus, those between
+    chunks too. A turn that states no role speaks for the other side of the turn before it.
     """
+    chunk = ["session_id", "timed", "chunk"]
     kept = judge(turns).where("not broken").select("session_id")
-    rows = _placed(turns, "content", "ts").groupBy("session_id", "timed", "chunk", "place").agg(F.min("role").alias("role"), F.min(F.coalesce("content", F.lit(""))).alias("content"), F.min("ts").alias("ts"))
-    w = Window.partitionBy("session_id", "timed", "chunk").orderBy("place")
+    rows = _placed(turns, "content", "ts").groupBy(*chunk, "place").agg(F.min("role").alias("role"), F.min(F.coalesce("content", F.lit(""))).alias("content"), F.min("ts").alias("ts"))
+    w = Window.partitionBy(*chunk).orderBy("place")
     secs = F.expr("timestampdiff(SECOND, before_ts, ts)")
     rows = rows.withColumn("n", F.row_number().over(w)).withColumn("before_ts", F.lag("ts").over(w)).withColumn("gap", secs)
     rows = materialise(rows.withColumn("before_role", F.lag("role").over(w)).drop("before_ts").join(kept, "session_id", "left_semi"), "turns")
-    limit = rows.where("gap > 0").agg(F.percentile_approx("gap", GAP_QUANTILE, 10_000).alias("limit_s"))
-    cut = with_row(rows, limit).withColumn("cut", F.coalesce(F.col("gap") > F.col("limit_s"), F.lit(False)).cast("int"))
-    sums = cut.groupBy("session_id", "timed", "chunk").agg(F.count("*").alias("n_rows"), F.sum("cut").alias("n_cuts"))
-    ws = Window.partitionBy("session_id").orderBy("timed", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("session_id", "timed", "chunk", F.coalesce(F.sum("n_rows").over(ws), F.lit(0)).alias("row0"), F.coalesce(F.sum("n_cuts").over(ws), F.lit(0)).alias("cut0"))
-    out = cut.join(starts, ["session_id", "timed", "chunk"]).withColumn("segment", F.col("cut0") + F.sum("cut").over(w))
-    other = F.when(F.col("before_role") == "human", "assistant").otherwise("human")
+    # What the first turn of a chunk comes after is the last turn of the chunk before.
+    ends = rows.groupBy(*chunk).agg(F.min_by("ts", "place").alias("ts"), F.max_by("ts", "place").alias("last_ts"), F.max_by("role", "place").alias("last_role"))
+    by_session = Window.partitionBy("session_id").orderBy("timed", "chunk")
+    ends = ends.withColumn("before_ts", F.lag("last_ts").over(by_session)).select(*chunk, secs.alias("gap_in"), F.lag("last_role").over(by_session).alias("role_in"))
+    ends = materialise(ends, "ends")
+    gaps = rows.select("gap").unionByName(ends.select(F.col("gap_in").alias("gap"))).where("gap > 0")
+    bins = gaps.groupBy(F.floor(F.log2("gap") * BINS).alias("bin")).count().collect()  # some eighty at most
+    limit = gap_break({r["bin"]: r["count"] for r in bins})
+    if limit is None:
+        limit = gaps.agg(F.percentile_approx("gap", GAP_QUANTILE, 10_000)).head()[0]
+    limit = F.lit(math.inf if limit is None else float(limit))
+    cut = rows.withColumn("cut", F.coalesce(F.col("gap") > limit, F.lit(False)).cast("int"))
+    sums = cut.groupBy(*chunk).agg(F.count("*").alias("n_rows"), F.sum("cut").alias("n_cuts")).join(ends, chunk).withColumn("cut_in", F.coalesce(F.col("gap_in") > limit, F.lit(False)).cast("int"))
+    ws = by_session.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *chunk, "role_in", F.coalesce(F.sum("n_rows").over(ws), F.lit(0)).alias("row0"), (F.coalesce(F.sum(F.col("n_cuts") + F.col("cut_in")).over(ws), F.lit(0)) + F.col("cut_in")).alias("cut0")
+    )
+    out = cut.join(starts, chunk).withColumn("segment", F.col("cut0") + F.sum("cut").over(w))
+    other = F.when(F.coalesce("before_role", "role_in") == "human", "assistant").otherwise("human")
     return out.select("session_id", (F.col("row0") + F.col("n") - 1).alias("position"), "segment", F.when(F.col("role") == "", other).otherwise(F.col("role")).alias("role"), "content", "ts")
