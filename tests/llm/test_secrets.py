@@ -67,3 +67,17 @@ def test_found_folds_repeated_rows_and_long_texts(spark):
     turns = spark.createDataFrame([("a", long), ("a", long), ("b", None)], "id string, content string")
     calls = spark.createDataFrame([], "id string, cmd_prefix string")
     assert [tuple(r) for r in secrets.found(turns, calls).collect()] == [("turns", "a", "aB3$xY9#kk2")]
+
+
+#: Each has no other evidence than the one form of its rule.
+LONE = [
+    "npm_alH0gGR8lUEXvPdS5m72m2rfGL74", "github_pat_11alH0gGR8lUEXvPdS5m72m2", "cred=zT7kq25Fxmu59", "creds are zT7kq25Fxmu59", "curl --user bob:ztk725Fxmu59 x", "curl --user=bob:ztk725Fxmu59 x", "curl -ubob:ztk725Fxmu59 x",
+    "mysql -u a -p Outer-journal251* db", "Basic\taW5nZXN0OlNaY0lvcWJwRWpSY0VFbA==", "use H848g7xu#?5A*5 as the pws",
+]
+
+
+def test_hint_passes_each_rule_alone(spark):
+    assert all(secrets.spans(t) for t in LONE)
+    df = spark.createDataFrame([(t, t) for t in LONE], "id string, content string")
+    assert {r.row_id for r in secrets.detect(df, "id", "content").collect()} == set(LONE)
+    assert all(r.n_secrets for r in secrets.redact(df, "id", "content").collect())

@@ -28,10 +28,14 @@ UNNATURAL = 2.9
 #: A string of letters and digits may be made of words, with fewer characters per subword than this.
 WORDY = 7.0
 
-#: What no credential can stand without; kept in step with the rules below.
+# Commands whose options carry a password: -p value, and -u or --user name:value.
+_P_COMMAND = r"\b(?:mysql|mysqldump|mysqladmin|mariadb|mongo|mongosh|mongodump|sshpass)\b[^\n|;&]*?"
+_U_COMMAND = r"\b(?:curl|wget|http|https|svn|ldapsearch)\b[^\n|;]*?"
+#: What no credential can stand without; wider than every rule below, also where Java's \s and \w know only ASCII.
 HINT = (
-    r"(?i)pass|pwd|pw\b|secret|token|key|auth|bearer|basic |login|credential|PRIVATE KEY|://[^\s/@:]*:[^\s/]|://[^\s/:@]{16,}@|-u \S+:|\s-p\S"
-    r"|\beyJ|[?&]sig|AKIA|ASIA|gh[pousr]_|glpat-|xox[abopsr]-|AIza|\bsk-|-----BEGIN"
+    r"(?i)pass|pwd|pw|secret|token|key|auth|bearer|basic\W|login|cred|PRIVATE KEY|://[^\s/@:]*:[^\s/]|://[^\s/:@]{16,}@"
+    + rf"|{_P_COMMAND}\W-p|{_U_COMMAND}\W(?:-u|--user)[ =]?[^\s:]+:"
+    + r"|\beyJ|[?&]sig|AKIA|ASIA|gh[pousr]_|github_pat_|npm_|glpat-|xox[abopsr]-|AIza|\bsk-|-----BEGIN"
 )
 
 _KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----.*?(?:-----END \1-----|\Z)", re.S)
@@ -53,8 +57,8 @@ _URL_CUT = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s:/@\"'<>{}$]+:(?P<v>[^\s@
 _URL_USER = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://(?P<v>[^\s:/@\"'<>{}$]{16,})@")
 _PARAM = re.compile(r"(?i)[?&](?:[a-z_]*(?:key|token|secret|password|passwd|pwd|pass|auth)|sig|signature)=(?P<v>[^\s&\"'<>#{}$]+)")
 _OPTION = re.compile(r"(?i)(?:--?(?:api-?key|password|passwd|pass|pwd|token|secret|auth-token|access-token|access-key|secret-key|client-secret|auth|credentials?)(?:=|\s+))(?P<q>[\"']?)(?P<v>[^\s\"']+)")
-_CLI_P = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb|mongo|mongosh|mongodump|sshpass)\b[^\n|;&]*?\s-p\s?(?P<q>[\"']?)(?P<v>[^\s\"']+)")
-_CLI_U = re.compile(r"\b(?:curl|wget|http|https|svn|ldapsearch)\b[^\n|;]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
+_CLI_P = re.compile(_P_COMMAND + r"\s-p\s?(?P<q>[\"']?)(?P<v>[^\s\"']+)")
+_CLI_U = re.compile(_U_COMMAND + r"\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
 _NETRC = re.compile(r"(?im)(?:^|[\s;])(?:password|passwd|passphrase)[ \t]+(?P<v>[^\s\"'`]+)")
 _REMARKS = [
     re.compile(p, re.I)
