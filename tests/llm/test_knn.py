@@ -71,3 +71,12 @@ def test_copies_and_replaced_vectors(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert knn.found(none).count() == 0 and knn.neighbours(none).count() == 0 and knn.copies_of(none).count() == 0
+
+
+def test_a_model_of_copies_has_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 1)
+    monkeypatch.setattr(knn, "SAMPLE", 2)
+    rows = [(f"c{i:03d}", [1.0, 2.0], "copies", NOW) for i in range(300)] + [(x, v, "o", NOW) for x, v in (("x", [1.0, 0.0]), ("y", [1.0, 0.1]))]
+    near = {(r.model, r.session_id, r.neighbour) for r in knn.neighbours(spark.createDataFrame(rows, SCHEMA), margin=2.0).collect()}
+    assert near == {("o", "x", "y"), ("o", "y", "x")}
+    assert (knn.EF, knn.EF_BUILD) >= (16, 20)

@@ -27,7 +27,7 @@ SAMPLE, SAMPLE_PER_CELL, ROUNDS = 40_000, 16, 10
 #: A vector visits the cells whose centre is at most MARGIN less similar than the nearest centre.
 MARGIN = 0.08
 #: Neighbours and beam of a search, and beam at insertion.
-K, EF, EF_BUILD = 6, 12, 16
+K, EF, EF_BUILD = 6, 16, 20
 MIN_COSINE = 0.90
 
 
@@ -67,13 +67,14 @@ def copies(now: DataFrame) -> DataFrame:
     return now.join(groups, ["model", "h1", "h2"]).select("model", "session_id", "rep", "h1", "h2")
 
 
-def _single(vectors: DataFrame, digests: DataFrame, now: DataFrame, same: DataFrame) -> DataFrame:
-    """One of each group of copies, and no vector a session has replaced. Only exceptions are
-    joined, so the vectors themselves are not shuffled here."""
+def _single(vectors: DataFrame, digests: DataFrame, now: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One of each group of copies, and no vector a session has replaced: vectors and digests.
+    Only exceptions are joined, so the vectors themselves are not shuffled here."""
     replaced = digests.join(now.where("differ").withColumnsRenamed({"h1": "n1", "h2": "n2"}), ["model", "session_id"]).where("h1 <> n1 or h2 <> n2")
     out = materialise(replaced.select("model", "session_id", "h1", "h2").unionByName(same.where("session_id <> rep").select("model", "session_id", "h1", "h2")), "exceptions")
     few = out.count() <= BROADCAST_ROWS
-    return vectors.join(F.broadcast(out) if few else out, ["model", "session_id", "h1", "h2"], "left_anti")
+    left, right = (t.join(F.broadcast(out) if few else out, ["model", "session_id", "h1", "h2"], "left_anti") for t in (vectors, digests))
+    return left, right
 
 
 def _kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +102,7 @@ def fit(vectors: DataFrame, digests: DataFrame) -> dict[str, tuple[np.ndarray, n
 
     The sample of a model are the vectors whose session hashes below a threshold that
     leaves at most SAMPLE of them, 256 per cell; one pass takes those of all models.
+    *digests* are those of the same vectors. Where none is below it, the first one counts.
     Models are few, each with a bounded sample on the driver.
     """
     counts = {r["model"]: r["count"] for r in digests.groupBy("model").count().collect()}
@@ -111,7 +113,10 @@ def fit(vectors: DataFrame, digests: DataFrame) -> dict[str, tuple[np.ndarray, n
     sample = vectors.where(chosen).limit(2 * sum(wanted.values())).select("model", "session_id", "vec").toArrow().sort_by([("model", "ascending"), ("session_id", "ascending")])
     models, out = sample["model"].to_numpy(), {}
     for m, n in counts.items():
-        rows = sample.filter(pa.array(models == m))["vec"].combine_chunks()
+        mine = sample.filter(pa.array(models == m))
+        if not len(mine):
+            mine = vectors.where(F.col("model") == m).orderBy("session_id").limit(1).select("model", "session_id", "vec").toArrow()
+        rows = mine["vec"].combine_chunks()
         if len(rows):
             x = _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)).astype(np.float32)
             centres, share = _kmeans(x, min(-(-n // CELL), max(1, len(x) // SAMPLE_PER_CELL)))
@@ -208,8 +213,8 @@ def _answers(k: int, ef: int, ef_build: int, least: float):
 
 
 def _nearest(vectors: DataFrame, digests: DataFrame, same: DataFrame, k: int, ef: int, ef_build: int, margin: float, least: float) -> DataFrame:
-    single = _single(vectors, digests, current(digests), same)
-    cells = fit(single, digests)
+    single, of_single = _single(vectors, digests, current(digests), same)
+    cells = fit(single, of_single)
     if not cells:
         return single.select("model", "session_id", F.col("session_id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
     n_graphs = int(sum(g.sum() for _, g in cells.values()))
