@@ -1,15 +1,19 @@
 """Evaluation texts leaking into training text (problem 9).
 
-The words of all test items go into one generalised suffix automaton. Each document is
-streamed through it word by word; the automaton state and the matching length tell at
-every word the longest passage that ends there and stands in some item. Test items are
-few (their words are bounded per automaton, more items make more automatons), documents
-are not: they are only ever streamed, whole, in parallel, without a shuffle.
+The words of the test items go into generalised suffix automatons, which tasks build
+and write to the shared folder: items are dealt by their id, so all texts of an item
+stand in one automaton, and more items make more automatons of the same size. Each
+document is streamed word by word through all of them in one pass; state and matching
+length tell at every word the longest passage that ends there and stands in some item.
+Documents are never shuffled. What a document loses is the union over all automatons,
+judged and cut once, so the answer does not depend on how many there are.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.durable import materialise
+
 #: Words in a row that make a leak.
 MIN_WORDS = 13
-#: Words of items in one automaton (some 40 MB as it is sent to the executors).
-AUTOMATON_WORDS = 200_000
+#: Characters of items in one automaton, on average; some 30 bytes of automaton each.
+AUTOMATON_CHARS = 1_000_000
+#: Bytes of automatons sent to the executors at once; more are streamed in further waves.
+WAVE_BYTES = 128 << 20
 #: A document whose leaked words reach this share is dropped as a whole.
 MAX_COVERAGE = 0.5
 
@@ -29,39 +37,16 @@ _WORD = re.compile(r"[^\W_]+")
 
 def words(text: str | None) -> list[str]:
     """The longest runs of letters and digits, without case; none for null and empty."""
-    return _WORD.findall(text.casefold()) if text else []
-
+    return " ".join(_WORD.findall(text)).casefold().split() if text else []
 
-class SuffixAutomaton:
-    """A generalised suffix automaton over the word ids of many items.
 
-    ``step[state]`` maps a word id to the next state, ``link`` is the suffix link and
-    ``length`` the longest passage of a state. ``items[state]`` are the items in which
-    the passages of a state stand.
-    """
+class _Builder:
+    """The automaton as it grows: ``step[state]`` maps a word id to the next state, ``link``
+    is the suffix link and ``length`` the longest passage of a state."""
 
-    def __init__(self, texts: list[tuple[int, list[str]]], min_words: int) -> None:
-        self.ids: dict[str, int] = {}
+    def __init__(self) -> None:
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[tuple[int, int]] = []
-        for item, ws in texts:
-            last = 0
-            for w in ws:
-                last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
-                ends.append((last, item))
-        holders: list[set[int]] = [set() for _ in self.link]
-        for state, item in ends:
-            while state > 0 and item not in holders[state]:
-                holders[state].add(item)
-                state = self.link[state]
-        # The state of the last min_words words of a match: the first whose link is shorter.
-        self.short = list(range(len(self.link)))
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            up = self.link[s]
-            if self.length[up] >= min_words:
-                self.short[s] = self.short[up]
-        self.items = [tuple(sorted(h)) if self.length[i] >= min_words else () for i, h in enumerate(holders)]
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:
         self.length.append(length)
@@ -77,7 +62,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, w: int) -> int:
+    def extend(self, last: int, w: int) -> int:
         q = self.step[last].get(w)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
@@ -90,19 +75,50 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return cur
 
+
+class SuffixAutomaton:
+    """A generalised suffix automaton over the word ids of many items, in flat arrays.
+
+    Most states have one way on (``word``, ``next``); only those with several have a
+    table of their own. ``held[state]`` numbers the set of items in which the passages
+    of a state stand, 0 being none; states of fewer than *min_words* words hold none.
+    """
+
+    def __init__(self, texts: list[tuple[int, list[str]]], min_words: int) -> None:
+        b, self.ids = _Builder(), {}
+        ends: list[tuple[int, int]] = []
+        for item, ws in texts:
+            last = 0
+            for w in ws:
+                last = b.extend(last, self.ids.setdefault(w, len(self.ids)))
+                ends.append((last, item))
+        holders: dict[int, set[int]] = {}
+        for state, item in ends:
+            while b.length[state] >= min_words and item not in (h := holders.setdefault(state, set())):
+                h.add(item)
+                state = b.link[state]
+        sets: dict[tuple, int] = {(): 0}
+        self.held = array("i", (sets.setdefault(tuple(sorted(holders.get(s, ()))), len(sets)) for s in range(len(b.link))))
+        self.sets = list(sets)
+        self.link, self.length = array("i", b.link), array("i", b.length)
+        self.word = array("i", (next(iter(t)) if len(t) == 1 else -1 for t in b.step))
+        self.next = array("i", (next(iter(t.values())) if len(t) == 1 else -1 for t in b.step))
+        self.ways = {s: t for s, t in enumerate(b.step) if len(t) > 1}
+
     def matches(self, ws: list[str], min_words: int) -> Iterator[tuple[int, int, int]]:
         """(last word, matching length, state) wherever at least *min_words* words match."""
-        get, step, link, length = self.ids.get, self.step, self.link, self.length
+        get, word, to_next, ways, link, length = self.ids.get, self.word, self.next, self.ways, self.link, self.length
         state = n = 0
         for i, w in enumerate(map(get, ws)):
             if w is None:
                 state = n = 0
                 continue
-            to = step[state].get(w)
-            while to is None and state:
+            while True:
+                to = to_next[state] if word[state] == w else ways[state].get(w) if state in ways else None
+                if to is not None or not state:
+                    break
                 state = link[state]
                 n = length[state]
-                to = step[state].get(w)
             if to is None:
                 n = 0
                 continue
@@ -110,22 +126,52 @@ class SuffixAutomaton:
             if n >= min_words:
                 yield i, n, state
 
-
-def _chunks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in chunks of bounded size, an item at a time from one partition at a time."""
-    chunk, size, seen = [], 0, set()
-    for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator():
-        ws = words(r.text)
-        if (r.item_id, r.text) in seen or not ws:
-            continue
-        seen.add((r.item_id, r.text))
-        chunk.append((r.item_id, ws))
-        size += len(ws)
-        if size >= AUTOMATON_WORDS:
-            yield chunk
-            chunk, size, seen = [], 0, set()
-    if chunk:
-        yield chunk
+    def passages(self, n: int, state: int, min_words: int) -> Iterator[tuple[int, int]]:
+        """(item, words) of each item in which at least *min_words* of the *n* words matched last stand: its longest such passage."""
+        seen: tuple = ()
+        while n >= min_words:
+            items = self.sets[self.held[state]]
+            if items is not seen:
+                for item in items:
+                    if item not in seen:
+                        yield item, n
+                seen = items
+            state = self.link[state]
+            n = self.length[state]
+
+
+def automatons(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(chunk, n_bytes, automaton): built in tasks, written once. Repeated and wordless items count once or not."""
+    texts = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    n_chars = texts.agg(F.sum(F.length("text"))).head()[0] or 0
+    n_chunks = max(1, -(-n_chars // AUTOMATON_CHARS))
+
+    def build(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        sam = SuffixAutomaton([(int(i), words(t)) for i, t in zip(g["item_id"], g["text"])], min_words)
+        made = pickle.dumps(sam, protocol=5)
+        return pd.DataFrame({"chunk": [key[0]], "n_bytes": [len(made)], "automaton": [made]})
+
+    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("item_id"), F.lit(n_chunks)).cast("int"))
+    return materialise(dealt.groupBy("chunk").applyInPandas(build, "chunk int, n_bytes bigint, automaton binary"), "automatons")
+
+
+def _waves(items: DataFrame, min_words: int) -> Iterator[list]:
+    """The automatons as broadcast variables, in waves of WAVE_BYTES (or one automaton) at most."""
+    made = automatons(items, min_words)
+    wave, size = [], 0
+    for r in [*made.select("chunk", "n_bytes").orderBy("chunk").collect(), None]:
+        if r is None or (wave and size + r.n_bytes > WAVE_BYTES):
+            if wave:
+                got = made.where(F.col("chunk").isin(wave)).orderBy("chunk").select("automaton").collect()
+                yield [items.sparkSession.sparkContext.broadcast(bytes(x.automaton)) for x in got]
+            wave, size = [], 0
+        if r is not None:
+            wave.append(r.chunk)
+            size += r.n_bytes
+
+
+def _load(sent: list) -> list[SuffixAutomaton]:
+    return [pickle.loads(s.value) for s in sent]
 
 
 LEAK_SCHEMA = "doc_id bigint, item_id bigint, longest int, n_leaked int, n_words int"
@@ -137,39 +183,33 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
     ``longest`` is the longest such passage in words, ``n_leaked`` how many words of the
     document stand in passages of the item, ``n_words`` all its words. Items shorter than
     *min_words* leak nowhere; null and empty texts hold nothing; repeated items count
-    once; documents are read whole.
+    once, several texts of one item together; documents are read whole.
     """
-    spark = documents.sparkSession
     out = None
-    for chunk in _chunks(items):
-        sent = spark.sparkContext.broadcast(SuffixAutomaton(chunk, min_words))
+    for wave in _waves(items, min_words):
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            sam = sent.value
+        def run(batches: Iterator[pd.DataFrame], wave=wave) -> Iterator[pd.DataFrame]:
+            sams = _load(wave)
             for b in batches:
                 rows = []
                 for doc_id, text in zip(b["doc_id"], b["text"]):
                     ws = words(text)
                     if len(ws) < min_words:
                         continue
-                    hit: dict[int, list] = {}
-                    for i, n, state in sam.matches(ws, min_words):
-                        for item in sam.items[sam.short[state]]:
-                            h = hit.setdefault(item, [0, 0, -1])
-                            start = max(i - min_words + 1, h[2] + 1)
-                            h[1] += i - start + 1
-                            h[2] = i
-                        for item in sam.items[state]:
-                            hit[item][0] = max(hit[item][0], n)
-                        if sam.items[state] != sam.items[sam.short[state]]:
-                            for item in sam.items[sam.short[state]]:
-                                hit[item][0] = max(hit[item][0], min_words)
-                    rows += [(doc_id, item, h[0], h[1], len(ws)) for item, h in hit.items()]
+                    for sam in sams:
+                        hit: dict[int, list] = {}
+                        for i, n, state in sam.matches(ws, min_words):
+                            for item, m in sam.passages(n, state, min_words):
+                                h = hit.setdefault(item, [0, 0, -1])
+                                h[0] = max(h[0], m)
+                                h[1] += i - max(i - m, h[2])
+                                h[2] = i
+                        rows += [(doc_id, item, h[0], h[1], len(ws)) for item, h in hit.items()]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAK_SCHEMA.split(", ")])
 
         got = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, LEAK_SCHEMA)
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else spark.createDataFrame([], LEAK_SCHEMA)
+    return out if out is not None else documents.sparkSession.createDataFrame([], LEAK_SCHEMA)
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -181,32 +221,44 @@ def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
     """(doc_id, text, n_removed): documents without their leaked passages.
 
     Each passage of *min_words* words or more goes, whatever item it stands in; a document
-    of which more than *max_coverage* of the words leaked goes as a whole. With more than
-    one automaton the passages of each are removed in turn.
+    of which more than *max_coverage* of the words leaked goes as a whole. Each wave of
+    automatons adds the places it leaks to those of the waves before; the last step,
+    in the same pass, judges their union and cuts.
     """
-    spark = documents.sparkSession
-    out = documents.select("doc_id", "text", F.lit(0).alias("n_removed"))
-    for chunk in _chunks(items):
-        sent = spark.sparkContext.broadcast(SuffixAutomaton(chunk, min_words))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            sam = sent.value
+    out = documents.select("doc_id", "text", F.array().cast("array<int>").alias("bad"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc_id, text, bad in zip(b["doc_id"], b["text"], b["bad"]):
+                if bad is None or not len(bad):
+                    rows.append((doc_id, text, 0))
+                    continue
+                at = list(_WORD.finditer(text))
+                leaked = np.zeros(len(at), dtype=bool)
+                leaked[np.asarray(bad)] = True
+                if leaked.sum() > max_coverage * len(at):
+                    continue
+                parts, last = [], 0
+                for a, z in zip(np.flatnonzero(np.diff(np.r_[0, leaked]) == 1), np.flatnonzero(np.diff(np.r_[leaked, 0]) == -1)):
+                    parts.append(text[last : at[a].start()])
+                    last = at[z].end()
+                rows.append((doc_id, "".join([*parts, text[last:]]), int(leaked.sum())))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "n_removed"])
+
+    for wave in _waves(items, min_words):
+
+        def mark(batches: Iterator[pd.DataFrame], wave=wave) -> Iterator[pd.DataFrame]:
+            sams = _load(wave)
             for b in batches:
-                rows = []
-                for doc_id, text, before in zip(b["doc_id"], b["text"], b["n_removed"]):
-                    at = list(_WORD.finditer(text)) if text else []
-                    ws = [m[0].casefold() for m in at]
-                    bad = np.zeros(len(ws), dtype=bool)
-                    for i, n, _ in sam.matches(ws, min_words):
-                        bad[i - n + 1 : i + 1] = True
-                    if bad.sum() > max_coverage * max(1, len(ws)):
-                        continue
-                    parts, last = [], 0
-                    for a, z in zip(np.flatnonzero(np.diff(np.r_[0, bad]) == 1), np.flatnonzero(np.diff(np.r_[bad, 0]) == -1)):
-                        parts.append(text[last : at[a].start()])
-                        last = at[z].end()
-                    rows.append((doc_id, "".join([*parts, text[last:]]) if text else text, int(before + bad.sum())))
-                yield pd.DataFrame(rows, columns=["doc_id", "text", "n_removed"])
-
-        out = out.mapInPandas(run, "doc_id bigint, text string, n_removed int")
-    return out
+                every = []
+                for text, bad in zip(b["text"], b["bad"]):
+                    ws, places = words(text), set(bad)
+                    for sam in sams:
+                        for i, n, _ in sam.matches(ws, min_words):
+                            places.update(range(i - n + 1, i + 1))
+                    every.append(sorted(places))
+                yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "bad": every})
+
+        out = out.mapInPandas(mark, "doc_id bigint, text string, bad array<int>")
+    return out.mapInPandas(cut, "doc_id bigint, text string, n_removed int")

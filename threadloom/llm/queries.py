@@ -55,8 +55,28 @@ def _pairs_sql(where: str = "") -> str:
 SELECT file_a, file_b, c, a, b, n, round(c * n::DOUBLE / (a * b), 6) AS lift,
   round(greatest(0, 2 * ({" + ".join(map(_xlogx, ["n", "c", "a - c", "b - c", "n - a - b + c"]))} - {" - ".join(map(_xlogx, ["a", "n - a", "b", "n - b"]))})), 6) AS llr FROM x"""
 
+_GRAMS = r"""
+WITH doc AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+item AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(range(0, len(ws) - 12)) AS i, unnest(list_transform(range(0, len(ws) - 12), lambda k: array_to_string(ws[k + 1 : k + 13], ' '))) AS gram FROM doc WHERE len(ws) >= 13),
+ig AS (SELECT item_id, unnest(range(0, len(ws) - 12)) AS j, unnest(list_transform(range(0, len(ws) - 12), lambda k: array_to_string(ws[k + 1 : k + 13], ' '))) AS gram FROM item WHERE len(ws) >= 13),
+hit AS (SELECT doc_id, item_id, i, j FROM dg JOIN ig USING (gram)),
+run AS (SELECT doc_id, item_id, max(n) + 12 AS longest FROM (SELECT doc_id, item_id, count(*) AS n FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM hit) GROUP BY doc_id, item_id, i - j, island) GROUP BY 1, 2),
+place AS (SELECT DISTINCT doc_id, item_id, unnest(range(i, i + 13)) AS k FROM hit)
+"""
 
 SQL = {
+    "p9_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM hit",
+    "p9_leaks": _GRAMS
+    + """SELECT r.doc_id, r.item_id, r.longest::INT AS longest, p.n::INT AS n_leaked, len(d.ws)::INT AS n_words
+         FROM run r JOIN (SELECT doc_id, item_id, count(*) AS n FROM place GROUP BY 1, 2) p USING (doc_id, item_id) JOIN doc d USING (doc_id)""",
+    "p9_clean": _GRAMS
+    + r""", bad AS (SELECT doc_id, list(DISTINCT k) AS ks FROM place GROUP BY 1),
+         x AS (SELECT d.doc_id, d.text, coalesce(b.ks, []) AS ks, regexp_extract_all(d.text, '[\p{L}\p{N}]+') AS ws, regexp_split_to_array(d.text, '[\p{L}\p{N}]+') AS gaps FROM documents d LEFT JOIN bad b USING (doc_id))
+         SELECT doc_id, CASE WHEN len(ks) = 0 THEN text ELSE array_to_string(list_transform(range(0, len(gaps)), lambda k:
+             CASE WHEN list_contains(ks, k - 1) AND list_contains(ks, k) THEN '' ELSE gaps[k + 1] END || CASE WHEN k = len(ws) OR list_contains(ks, k) THEN '' ELSE ws[k + 1] END), '') END AS text, len(ks)::INT AS n_removed
+         FROM x WHERE NOT coalesce(len(ks) > 0.5 * len(ws), false)""",
     "p5_found": r"""
 WITH t AS (
   SELECT DISTINCT session_id, turn_index,
