@@ -16,9 +16,12 @@ def tables(spark, baskets):
     )
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_counts_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,hot,flush", [(3, 10_000, 200_000), (512, 10_000, 50), (512, 5, 7)])
+def test_counts_against_brute_force(spark, monkeypatch, block, hot, flush):
     monkeypatch.setattr(pairs, "BLOCK", block)
+    monkeypatch.setattr(pairs, "HOT_RECORDS", hot)
+    monkeypatch.setattr(pairs, "FLUSH", flush)
+    monkeypatch.setattr(pairs, "STRIPE", 4)
     rng = random.Random(3)
     baskets = {f"c{i}": [f"f{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randint(0, 12))] for i in range(60)}
     files, cps = tables(spark, baskets)
@@ -31,6 +34,8 @@ def test_counts_against_brute_force(spark, monkeypatch, block):
         assert (r.a, r.b, r.n) == (single[a], single[b], n) and r.lift == pytest.approx(r.c * n / (r.a * r.b)) and r.llr >= 0
     want = {k for k, c in both.items() if c >= 5 and c * n >= 3 * single[k[0]] * single[k[1]]}
     assert {tuple(r) for r in pairs.found(files, cps).collect()} == want
+    least = sorted(r.llr for r in got.values())[len(got) // 2]
+    assert {(r.file_a, r.file_b) for r in pairs.significant(files, cps, least).collect()} == {k for k, r in got.items() if r.llr >= least and r.lift > 1}
 
 
 def test_log_likelihood(spark):

@@ -21,6 +21,7 @@ QUERIES = {
     "p7_found": lambda s, d: pairs.found(load(s, d, "files_index"), load(s, d, "checkpoints")),
     "p7_pairs": lambda s, d: pairs.pairs(load(s, d, "files_index"), load(s, d, "checkpoints"), min_together=2).withColumns({c: F.round(c, 6) for c in ("lift", "llr")}),
     "p7_all_pairs": lambda s, d: pairs.pairs(load(s, d, "files_index"), load(s, d, "checkpoints")).withColumns({c: F.round(c, 6) for c in ("lift", "llr")}),
+    "p7_significant": lambda s, d: pairs.significant(load(s, d, "files_index"), load(s, d, "checkpoints")).withColumns({c: F.round(c, 6) for c in ("lift", "llr")}),
     "p7_cache_differences": lambda s, d: pairs.cache_differences(load(s, d, "files_index"), load(s, d, "checkpoints"), load(s, d, "file_cooccurrence")),
     "p8_containers": lambda s, d: packing.pack(load(s, d, "documents"), load(s, d, "pack_limits")),
     "p8_fill": lambda s, d: packing.fill(packing.pack(load(s, d, "documents"), load(s, d, "pack_limits")), load(s, d, "pack_limits")),
@@ -103,6 +104,7 @@ WHERE p.session_id IS NULL OR NOT p.seen OR p.n <> p.places OR p.indexed NOT IN
          WHERE c >= 5 AND c * total.n >= 3 * a.n * b.n""",
     "p7_pairs": _pairs_sql(" WHERE c >= 2"),
     "p7_all_pairs": _pairs_sql(),
+    "p7_significant": f"SELECT * FROM ({_pairs_sql()}) WHERE llr >= 10.83 AND lift > 1",
     "p7_cache_differences": _MEMBERS
     + """, kept AS (
   SELECT least(file_a, file_b) AS file_a, greatest(file_a, file_b) AS file_b, max("count")::BIGINT AS cached, bool_or(file_a > file_b) AS turned
