@@ -81,3 +81,27 @@ def test_hint_passes_each_rule_alone(spark):
     df = spark.createDataFrame([(t, t) for t in LONE], "id string, content string")
     assert {r.row_id for r in secrets.detect(df, "id", "content").collect()} == set(LONE)
     assert all(r.n_secrets for r in secrets.redact(df, "id", "content").collect())
+
+
+#: Random strings that no rule of a context reaches; only the vocabulary tells them from the words below.
+ONLY_STRANGE = [
+    "The staging box wanted Zk81qPvT0xLm4WbN9rYe before it let us in.", "try again with this one for login, he said: it was q7Xd2Lr9Wm4T", "secret for the mailer, pasted by Ann:\tb9Kx-72qLm-Z04vT", "Zk81qPvT0xLm4WbN9rYe\n",
+]
+NATURAL = [
+    "The staging box wanted CustomerOnboardingVersion2Service before it let us in.", "try again with this one for login, he said: it was RetryHandler2", "secret for the mailer, pasted by Ann:\tbuild-notes-for-2025", "LegacyCursorBuffer2Widget\n",
+]
+EXPLAINED = [
+    'etag: "Zk81qPvT0xLm4WbN9rYe"', "commit Zk81qPvT0xLm4WbN9rYe", "the login page has request_id=Zk81qPvT0xLm4WbN9rYe", "data:image/png;base64,Zk81qPvT0xLm4WbN9rYe+token", "npm install @a/Zk81qPvT0xLm4WbN9rYe@7.0.4",
+    "key: see https://h.example/Zk81qPvT0xLm4WbN9rYe/x", "auth 27bbf4a4e78f6bc1dd27fe33cd179965", "sha512-Qew02HwDBH3b7QGkUmpblGvMw1VUKwaPACn0qK+w7dK", "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIKq81qPvT0xLm4WbN9rYe me",
+]
+
+
+def test_the_vocabulary_alone_decides_runs_from_anywhere(spark, monkeypatch):
+    assert [len(secrets.spans(t)) for t in ONLY_STRANGE] == [1] * 4 and not any(map(secrets.spans, NATURAL + EXPLAINED))
+    df = spark.createDataFrame([(t, t) for t in ONLY_STRANGE + NATURAL], "id string, content string")
+    assert {r.row_id for r in secrets.detect(df, "id", "content").collect()} == set(ONLY_STRANGE)
+    # Without the evidence: nothing is strange, or everything is.
+    monkeypatch.setattr(secrets, "chars_per_subword", lambda *_: 9.0)
+    assert not any(map(secrets.spans, ONLY_STRANGE))
+    monkeypatch.setattr(secrets, "chars_per_subword", lambda *_: 1.0)
+    assert sum(bool(secrets.spans(t)) for t in NATURAL) >= 3 and not any(map(secrets.spans, EXPLAINED))

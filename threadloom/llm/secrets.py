@@ -1,13 +1,21 @@
 """Credentials in code, configuration, commands and remarks (problem 2).
 
 Two kinds of evidence meet. Characters per subword of a public vocabulary tell random
-strings (about two characters per subword) from words (four and more). Context rules
-tell where a credential may stand: assignments, headers, connection strings, command
-options, remarks. A string counts if its context is one of a credential and it looks
-like one; the weaker the context, the stranger the string must be. Digests, commit ids
-and embedded data stand in none of these contexts. A coarse filter in the JVM keeps
-rows that cannot hold a credential away from Python. Redaction masks each span with as
-many '*' as it has characters, so all offsets outside stay as they were.
+strings (below two characters per subword) from words (four and more). Context tells
+what a string may be. They are combined in two ways:
+
+* Every run of token characters, wherever it stands, that the vocabulary finds
+  unnatural is a candidate. Context then vetoes it (digests, commit and request ids,
+  embedded data, public keys, addresses, package versions) or confirms it (a word for a
+  credential before it on its line lets shorter runs count). Without the evidence of the
+  vocabulary no such run is looked at.
+* Where the syntax names a credential (assignments, headers, connection strings, command
+  options, remarks) a value counts if it looks like one; the weaker the context, the
+  stranger the string must be, as passwords people choose are made of words.
+
+A coarse filter in the JVM keeps rows that hold neither away from Python. Redaction
+masks each span with as many '*' as it has characters, so all offsets outside stay as
+they were.
 """
 
 from __future__ import annotations
@@ -27,6 +35,12 @@ CUT = 100
 UNNATURAL = 2.9
 #: A string of letters and digits may be made of words, with fewer characters per subword than this.
 WORDY = 7.0
+#: The bounds for runs from anywhere, with a word for a credential before them and without. Calibrated on the words and
+#: identifiers of eight characters or more in turns (one in twenty is below 2.4, one in a hundred below 1.83) and on random
+#: strings of letters and digits (99.9 of 100 are below 1.78).
+STRANGE, STRANGER = 2.4, 1.8
+#: Characters such a run must have, with and without a word for a credential; how far before it the word may stand.
+CONFIRMED_LENGTH, BARE_LENGTH, REACH = 12, 20, 80
 
 # Commands whose options carry a password: -p value, and -u or --user name:value.
 _P_COMMAND = r"\b(?:mysql|mysqldump|mysqladmin|mariadb|mongo|mongosh|mongodump|sshpass)\b[^\n|;&]*?"
@@ -35,6 +49,7 @@ _U_COMMAND = r"\b(?:curl|wget|http|https|svn|ldapsearch)\b[^\n|;]*?"
 HINT = (
     r"(?i)pass|pwd|pw|secret|token|key|auth|bearer|basic\W|login|cred|PRIVATE KEY|://[^\s/@:]*:[^\s/]|://[^\s/:@]{16,}@"
     + rf"|{_P_COMMAND}\W-p|{_U_COMMAND}\W(?:-u|--user)[ =]?[^\s:]+:"
+    + r"|(?<![\w+/=.@:-])(?=[A-Za-z_+/-]{0,40}\d)[\w+/=-]{20}"
     + r"|\beyJ|[?&]sig|AKIA|ASIA|gh[pousr]_|github_pat_|npm_|glpat-|xox[abopsr]-|AIza|\bsk-|-----BEGIN"
 )
 
@@ -76,6 +91,43 @@ _PLACEHOLDER = re.compile(
 )
 _TRAIL = ".,:;"
 
+# Runs of token characters; what makes one no candidate by itself; what stands before one that is something else.
+_RUN = re.compile(r"(?<![\w+/=.@:~-])[\w+/=~-]{12,}(?![\w@]|\.\w|://)")
+_HARMLESS = re.compile(r"(?i)(?:sha\d+-.*|[0-9a-f]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|\d[\d_-]*|[A-Z]{1,3}-\d[\d-]*|0x[0-9a-f]+|.*=(?:[0-9a-f]{8}-.*|[0-9a-f]+))")
+_ELSE = re.compile(
+    r"(?i)(?:sha-?\d*|md5|crc\d*|e-?tag|integrity|digest|checksum|hash|fingerprint|commit|revision|rev|ref|tree|parent|blob|uuid|guid|build|version|image|base64|data"
+    r"|(?:request|trace|span|correlation|session|event|message|order|job|run|ticket|customer|user|account|device|client|tenant|object)[_ .-]?id|\bid|cursor|nonce|etag|ssh-\w+|ecdsa-\S+)[\"']?\s*[-:=,#]?\s*[\"'`(<]?$"
+)
+_WORD_FOR_IT = re.compile(r"(?i)pass(?:word|wd|phrase|code)?\b|pwd|secret|token|api|credential|cred\b|login|auth|bearer|\bkeys?\b|[_-]key\b|[a-z]Key\b")
+_PUBLIC = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PUBLIC KEY|CERTIFICATE|SIGNATURE|MESSAGE)[A-Z0-9 ]*-----.*?(?:-----END|\Z)|\bdata:[\w./+-]*;base64,\S*|\bssh-\w+ \S+", re.S)
+
+
+def _strange(text: str, folder: str) -> Iterator[tuple[int, int]]:
+    """Runs the vocabulary finds unnatural and context does not explain otherwise."""
+    public = None
+    for m in _RUN.finditer(text):
+        v = m[0].rstrip("=") if m[0].count("=") and not m[0].rstrip("=").count("=") else m[0]
+        if not any(c.isdigit() for c in v) or not any(c.isalpha() for c in v) or _HARMLESS.fullmatch(v) or "=" in v:
+            continue
+        if "/" in v and sum(len(p) > 3 and p.isalpha() for p in v.split("/")) > 0:  # a path
+            continue
+        score = chars_per_subword(v, folder)
+        if score >= STRANGE:
+            continue
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()][-REACH:]
+        if _ELSE.search(line):
+            continue
+        mixed = any(c.islower() for c in v) + any(c.isupper() for c in v) + 1 > 2
+        if _WORD_FOR_IT.search(line):
+            if not mixed:
+                continue
+        elif not (mixed and score < STRANGER and len(v) >= BARE_LENGTH):
+            continue
+        if public is None:
+            public = [x.span() for x in _PUBLIC.finditer(text)]
+        if all(m.end() <= a or m.start() >= b for a, b in public):
+            yield m.start(), m.start() + len(v)
+
 
 def _credential_like(v: str, strength: int, folder: str, at_cut: bool = False) -> bool:
     """Whether a string in a credential context looks like one; strength 3 (strong) to 1 (a remark)."""
@@ -148,6 +200,8 @@ def spans(text: str | None, folder: str = DEFAULT_DIR, cut: bool = False) -> lis
     for pattern in _REMARKS:
         for m in pattern.finditer(text):
             add(m, "v", 6, 1)
+    for a, b in _strange(text, folder):
+        found.append((7, a, b))
     out: list[tuple[int, int]] = []
     for _, a, b in sorted(found):
         if all(b <= x or a >= y for x, y in out):
