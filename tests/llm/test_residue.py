@@ -51,11 +51,26 @@ def test_reasons(spark):
     assert residue.kept(df).count() == sum(w is None for *_, w in data)
 
 
-def test_host_evidence_lowers_the_bar(spark):
-    text = "Signed out. Sign in again."
-    lone = spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string")
-    many = spark.createDataFrame([(i, text, f"h{i}") for i in range(4)], "doc_id bigint, text string, source string")
-    assert residue.found(lone).count() == 0 and residue.found(many).count() == 4
+#: Only their coming back under other addresses tells the first ones; the others come back too and are none.
+SHARED = ["Signed out. Sign in again.", "Veuillez recharger plus tard ({}).", "Disabled, retry in {} seconds."]
+NEVER = ["Human: please retry the gateway step {}.", "# Retry queue\n\nThe server waits {} s.", "step {} of the plan is done and nobody read it", "The test checks that the browser shows notice {}.", "{}"]
+
+
+def test_a_host_name_is_no_subject(spark):
+    rows = [(1, "You need to turn on scripts and cookies to continue to hooks.tidewell.test.", "a"), (2, "You need to turn on scripts and cookies in the test of the page.", "b")]
+    assert [r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()] == [1]
+
+
+def test_host_evidence_decides(spark):
+    schema = "doc_id bigint, text string, source string"
+    rows = [(100 * k + i, t.format(11 + i), f"{chr(97 + i) * 4}-pocket") for k, t in enumerate(SHARED + NEVER) for i in range(4)]
+    of = lambda rs: {r.doc_id for r in residue.found(spark.createDataFrame(rs, schema)).collect()}
+    want = {i for i, _, _ in rows if i < 100 * len(SHARED)}
+    assert of(rows) == want
+    # One copy each, copies under one address, or under addresses that name the text's subject: no evidence.
+    assert of(rows[::4]) == set()
+    assert of([(i, t, "one") for i, t, _ in rows]) == set()
+    assert of([(i, t, t.split()[0].strip(".,") if i < 300 else s) for i, t, s in rows]) == set()
 
 
 @pytest.mark.parametrize("text", ["word " * 40000, "{" * 50000, "`" * 30001, "<" * 20000 + "%>"])

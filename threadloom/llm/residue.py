@@ -1,12 +1,14 @@
-"""Template residue, filler and error pages (problem 10).
-
-Two questions are asked of each text. Does its prose, outside code and quoted examples,
-still hold placeholders, template tags, filler or author instructions? And is it, but
-for navigation, nothing but a notice? For the second, address slug, title and body are
-compared: a short body that shares no term with its address or title, whose masked form
-comes back under several hosts, needs fewer notice terms to be one. The statistics of
-masked forms cover the whole corpus, are counted with map-side combine, and come back
-by a join on the form's digest.
+"""Template residue, filler and error-page text (problem 10).
+
+A notice comes back: the same few words under addresses and titles that have nothing to
+do with them. So each short body is compared with its address slug and its title, and
+its masked form (numbers, ids and hosts left out) is counted over the corpus: a body
+that shares no term with its address or title and comes back under several hosts needs
+only one term that notices use. A body without that evidence needs three, one of them
+such as only notices use. Bodies that speak about notices, in either case, are none.
+Beside it placeholder detectors look at the prose, outside code and quoted examples, for
+placeholders, template tags, filler and author instructions. Forms are counted with
+map-side combine and come back by a join on their digest.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from threadloom.durable import materialise
 
 #: A body of at most so many words may be nothing but a notice.
 SHORT_WORDS = 60
-#: Notice terms a short body needs, and fewer where host evidence speaks against it.
-NOTICE_TERMS, NOTICE_TERMS_SHARED = 3, 2
+#: Notice terms a short body needs, and those of a mismatched body that comes back under several hosts.
+NOTICE_TERMS, NOTICE_TERMS_SHARED = 3, 1
 #: Notice terms per word of a notice, at least.
 NOTICE_DENSITY = 0.1
 #: Copies of a masked body, under so many hosts, that count as host evidence.
@@ -56,6 +58,7 @@ NOTICE_WEAK = [
 ]
 # How texts speak that make notices their subject.
 SUBJECT = r"\btests?\b|checks? that|shows? an? |redesigned|returns? an? |\bclient\b|\bhandler\b|log the |\bwe (?:show|render|return|send|log)|users? sees?|now says|^(?:human|user|assistant):|```|`"
+HOST = r"\b[\w-]+(?:\.[\w-]+)+\b"
 # Filler vocabulary.
 FILLER = "lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|eiusmod|tempor|incididunt|labore|dolore|magna|aliqua|veniam|nostrud|exercitation|ullamco|laboris|aliquip|commodo|consequat"
 # What unfilled templates and author instructions look like in prose.
@@ -123,31 +126,35 @@ def body(text: Column) -> Column:
 def masked(b: Column) -> Column:
     """A body with its numbers, ids and hosts masked; copies of one template come out equal."""
     t = F.lower(b)
-    t = F.regexp_replace(t, r"\b[\w-]+(?:\.[\w-]+)+\b", "@")
+    t = F.regexp_replace(t, HOST, "@")
     t = F.regexp_replace(t, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "#")
     return F.regexp_replace(F.regexp_replace(t, r"\d+", "0"), r"\s+", " ")
 
 
 def examined(documents: DataFrame) -> DataFrame:
-    """Per doc_id the evidence: short body, notice terms, copies and hosts of its masked form,
-    whether address and title share a term with the body, placeholders and filler in its prose."""
+    """Per doc_id the evidence: whether a short body with notice terms shares no term with its address
+    or title, the digest of its masked form, its notice terms, and placeholders and filler in its prose."""
     d = documents.where("doc_id is not null").select("doc_id", "text", "source")
     d = d.withColumn("prose", prose(F.col("text"))).withColumn("body", body(F.col("text")))
     d = d.withColumn("n_words", F.size(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).withColumn("short", F.col("n_words").between(2, SHORT_WORDS))
     d = d.withColumn("low_prose", F.lower("prose"))
     d = d.withColumn("low", F.when(F.col("short"), F.lower("body")))
-    said = lambda ps: F.when(F.col("short"), F.size(F.filter(F.array(*[F.col("low").rlike("(?m)" + p) for p in ps]), lambda x: x))).otherwise(0)
-    d = d.withColumn("strong", said(NOTICE_STRONG))
-    d = d.withColumn("terms", F.when(F.col("strong") > 0, F.col("strong") + said(NOTICE_WEAK)).otherwise(0))
-    # A page that kept a title of its own, or speaks about notices, has its content.
-    headed = F.regexp_extract("low", r"(?m)^#+ ([^\n]+)$", 1)
-    own_title = (headed != "") & ~headed.rlike("(?m)" + _either(NOTICE_STRONG + NOTICE_WEAK))
-    real = own_title | F.col("low").rlike("(?m)" + SUBJECT) | (F.col("terms") < NOTICE_DENSITY * F.col("n_words"))
-    d = d.withColumn("notice_terms", F.when((F.col("terms") > 0) & ~real, F.col("terms")).otherwise(0))
+    # Address slug and title against the terms of the body.
     slug = F.filter(F.split(F.lower(F.coalesce("source", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
-    title = F.filter(F.split(F.lower(F.regexp_extract("text", r"(?m)^#+ ([^\n]+)$", 1)), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    d = d.withColumn("heading", F.regexp_extract("low", r"(?m)^#+ ([^\n]+)$", 1))
+    title = F.filter(F.split("heading", r"[^\p{L}]+"), lambda w: F.length(w) > 3)
     rest = F.regexp_replace("low", r"(?m)^#+ [^\n]+$", "")
-    alien = F.col("short") & ~F.exists(slug, lambda w: F.contains(F.col("low"), w)) & ~F.exists(title, lambda w: F.contains(rest, w))
+    d = d.withColumn("mismatched", F.col("short") & ~F.exists(slug, lambda w: F.contains(F.col("low"), w)) & ~F.exists(title, lambda w: F.contains(rest, w)))
+    said = lambda ps: F.when(F.col("short"), F.size(F.filter(F.array(*[F.col("low").rlike("(?m)" + p) for p in ps]), lambda x: x))).otherwise(0)
+    d = d.withColumn("strong", said(NOTICE_STRONG))
+    d = d.withColumn("terms", F.when((F.col("strong") > 0) | F.col("mismatched"), F.col("strong") + said(NOTICE_WEAK)).otherwise(0))
+    # A page that kept a title of its own, or speaks about notices, has its content; the name of a host says nothing.
+    # Of a title among the evidence no word may be left over but those of notices.
+    own_title = (F.col("heading") != "") & ~F.col("heading").rlike("(?m)" + _either(NOTICE_STRONG + NOTICE_WEAK))
+    left_over = F.regexp_replace("heading", "(?m)(?:" + _either(NOTICE_STRONG + NOTICE_WEAK) + r")(?!\p{L})", " ").rlike(r"\p{L}{4}")
+    real = F.regexp_replace("low", HOST, "@").rlike("(?m)" + SUBJECT) | (F.col("terms") < NOTICE_DENSITY * F.col("n_words"))
+    d = d.withColumn("notice_terms", F.when((F.col("terms") > 0) & ~(own_title | real), F.col("terms")).otherwise(0))
+    d = d.withColumn("mismatched", F.col("mismatched") & (F.col("notice_terms") > 0) & ~left_over)
     filler = F.lit(rf"\b(?:{FILLER})\b")
     dense = F.exists(
         F.split("low_prose", r"\n"),
@@ -156,10 +163,10 @@ def examined(documents: DataFrame) -> DataFrame:
     return d.select(
         "doc_id",
         "source",
-        "short",
+        "strong",
         "notice_terms",
-        F.when(F.col("notice_terms") > 0, alien).otherwise(F.lit(False)).alias("mismatched"),
-        F.when(F.col("notice_terms") > 0, F.md5(masked(F.col("body")))).alias("form"),
+        "mismatched",
+        F.when(F.col("mismatched"), F.md5(masked(F.col("body")))).alias("form"),
         unfilled(F.col("prose"), F.col("low_prose")).alias("placeholder"),
         F.when(F.contains("low_prose", F.lit("lorem")) | F.contains("low_prose", F.lit("ipsum")), dense).otherwise(F.lit(False)).alias("filler"),
     )
@@ -172,10 +179,12 @@ def judge(documents: DataFrame) -> DataFrame:
     """
     seen = materialise(examined(documents), "examined")  # read twice: for the forms and for the verdict
     forms = seen.where("form is not null").groupBy("form").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("source").alias("n_hosts"))
-    d = seen.join(forms, "form", "left")
-    shared = (F.coalesce("n_docs", F.lit(0)) >= SHARED_DOCS) & (F.coalesce("n_hosts", F.lit(0)) >= SHARED_HOSTS)
-    need = F.when(F.col("mismatched") & shared, NOTICE_TERMS_SHARED).otherwise(NOTICE_TERMS)
-    reason = F.when(F.col("short") & (F.col("notice_terms") >= need), "notice").when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler")
+    shared = forms.where((F.col("n_docs") >= SHARED_DOCS) & (F.col("n_hosts") >= SHARED_HOSTS)).select("form", F.lit(True).alias("shared"))
+    # Bodies without a form to compare meet no other; as nulls they would all meet in one task.
+    d = seen.where("form is not null").join(shared, "form", "left").unionByName(seen.where("form is null").withColumn("shared", F.lit(None).cast("boolean")))
+    alone = (F.col("strong") > 0) & (F.col("notice_terms") >= NOTICE_TERMS)
+    notice = alone | (F.col("mismatched") & F.coalesce("shared", F.lit(False)) & (F.col("notice_terms") >= NOTICE_TERMS_SHARED))
+    reason = F.when(notice, "notice").when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler")
     return d.select("doc_id", reason.alias("reason")).groupBy("doc_id").agg(F.max("reason").alias("reason"))
 
 
