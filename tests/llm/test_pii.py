@@ -50,3 +50,18 @@ def test_empty(spark):
 def test_long_text(spark):
     long = "plain words here " * 20000 + "mail z.y@example.org end"
     assert [tuple(r) for r in pii.found(spark.createDataFrame([("a", long)], "id string, content string")).collect()] == [("a", "email", "z.y@example.org")]
+
+
+def test_placeholders_at_their_places_and_lone_terms(spark):
+    rows = [(f"s{i}", f"From: Nora Feldstern <n{i}@example.org> hi") for i in range(6)] + [(f"t{i}", f"Will Osterkamp <w{i}@example.org> wrote") for i in range(3)]
+    rows += [
+        ("whole", "Nora Feldstern and Nora Feldsternhof met"), ("lone", "Nora said Feldstern is away, NORA's file src/nora.go stays"),
+        ("other", "nobody knows; 12345 Nora-Feldsterns"), ("same", "mail a.b@example.org, not xa.b@example.org.uk or 1a.b@example.org"),
+    ] + [(f"w{i}", f"We will see, will it run {i} times?") for i in range(40)]
+    got = {r.turn_id: r.content for r in pii.sanitise(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert len(got) == len(rows) and got["s0"] == "From: <NAME> <<EMAIL>> hi"
+    assert got["whole"] == "<NAME> and <NAME> Feldsternhof met"
+    assert got["lone"] == "<NAME> said <NAME> is away, NORA's file src/nora.go stays"
+    assert got["other"] == "nobody knows; 12345 Nora-Feldsterns" and got["same"] == "mail <EMAIL>, not <EMAIL> or <EMAIL>"
+    # "Will" stands beside an address three times and elsewhere forty times: it tells too little.
+    assert got["t0"] == "Will Osterkamp <<EMAIL>> wrote" and got["w7"] == "We will see, will it run 7 times?"
