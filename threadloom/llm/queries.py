@@ -56,6 +56,26 @@ def _pairs_sql(where: str = "") -> str:
 SELECT file_a, file_b, c, a, b, n, round(c * n::DOUBLE / (a * b), 6) AS lift,
   round(greatest(0, 2 * ({" + ".join(map(_xlogx, ["n", "c", "a - c", "b - c", "n - a - b + c"]))} - {" - ".join(map(_xlogx, ["a", "n - a", "b", "n - b"]))})), 6) AS llr FROM x"""
 
+_TALK = r"""
+WITH t AS (
+  SELECT DISTINCT session_id, turn_index,
+         CASE WHEN lower(trim(role)) IN ('human', 'user') THEN 'human' ELSE coalesce(lower(trim(role)), '') END AS role,
+         coalesce(content, '') AS content, CASE WHEN turn_index IS NULL THEN ts END AS ts
+  FROM turns),
+o AS (SELECT *, regexp_matches(content, '[^\s\x{00A0}\x{0085}\x{000B}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') AS seen FROM t),
+place AS (
+  SELECT session_id, count(*) AS n, count(DISTINCT coalesce(turn_index::VARCHAR, ts::VARCHAR)) AS places, count(turn_index) AS indexed,
+         min(turn_index) AS low, max(turn_index) AS high, bool_or(seen) AS seen FROM o GROUP BY 1),
+v AS (
+  SELECT session_id, role, row_number() OVER w AS k, lead(role) OVER w AS after
+  FROM o WHERE seen WINDOW w AS (PARTITION BY session_id ORDER BY turn_index, ts)),
+talk AS (
+  SELECT session_id, bool_or(role = 'human' AND coalesce(after, 'human') = 'human') AS unanswered, bool_or(k = 1 AND role <> 'human') AS answered_first
+  FROM v GROUP BY 1)
+"""
+_BROKEN = """NOT p.seen OR p.n <> p.places OR p.indexed NOT IN (0, p.n)
+   OR (p.indexed > 0 AND (p.low <> 0 OR p.high <> p.places - 1)) OR k.unanswered OR k.answered_first"""
+
 _GRAMS = r"""
 WITH doc AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 item AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS ws FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -78,27 +98,31 @@ SQL = {
          SELECT doc_id, CASE WHEN len(ks) = 0 THEN text ELSE array_to_string(list_transform(range(0, len(gaps)), lambda k:
              CASE WHEN list_contains(ks, k - 1) AND list_contains(ks, k) THEN '' ELSE gaps[k + 1] END || CASE WHEN k = len(ws) OR list_contains(ks, k) THEN '' ELSE ws[k + 1] END), '') END AS text, len(ks)::INT AS n_removed
          FROM x WHERE NOT coalesce(len(ks) > 0.5 * len(ws), false)""",
-    "p5_found": r"""
-WITH t AS (
-  SELECT DISTINCT session_id, turn_index,
-         CASE WHEN lower(trim(role)) IN ('human', 'user') THEN 'human' ELSE coalesce(lower(trim(role)), '') END AS role,
-         coalesce(content, '') AS content, CASE WHEN turn_index IS NULL THEN ts END AS ts
-  FROM turns),
-o AS (SELECT *, regexp_matches(content, '[^\s\x{00A0}\x{0085}\x{000B}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') AS seen FROM t),
-place AS (
-  SELECT session_id, count(*) AS n, count(DISTINCT coalesce(turn_index::VARCHAR, ts::VARCHAR)) AS places, count(turn_index) AS indexed,
-         min(turn_index) AS low, max(turn_index) AS high, bool_or(seen) AS seen FROM o GROUP BY 1),
-v AS (
-  SELECT session_id, role, row_number() OVER w AS k, lead(role) OVER w AS after
-  FROM o WHERE seen WINDOW w AS (PARTITION BY session_id ORDER BY turn_index, ts)),
-talk AS (
-  SELECT session_id, bool_or(role = 'human' AND coalesce(after, 'human') = 'human') AS unanswered, bool_or(k = 1 AND role <> 'human') AS answered_first
-  FROM v GROUP BY 1)
-SELECT DISTINCT s.id AS session_id
+    "p5_found": _TALK
+    + """SELECT DISTINCT s.id AS session_id
 FROM sessions s LEFT JOIN place p ON s.id = p.session_id LEFT JOIN talk k ON s.id = k.session_id
-WHERE p.session_id IS NULL OR NOT p.seen OR p.n <> p.places OR p.indexed NOT IN (0, p.n)
-   OR (p.indexed > 0 AND (p.low <> 0 OR p.high <> p.places - 1)) OR k.unanswered OR k.answered_first
-""",
+WHERE p.session_id IS NULL OR """
+    + _BROKEN,
+    # The gap at the first break of the histogram of all gaps, then running sums of the cuts.
+    "p5_conversations": _TALK
+    + f""", kept AS (SELECT p.session_id FROM place p LEFT JOIN talk k USING (session_id) WHERE NOT ({_BROKEN})),
+row AS (SELECT session_id, turn_index IS NULL AS timed, coalesce(turn_index::BIGINT, epoch_us(ts)) AS spot, min(role) AS role, min(content) AS content, min(ts) AS ts FROM
+  (SELECT session_id, turn_index, ts, CASE WHEN lower(trim(role)) IN ('human', 'user') THEN 'human' ELSE coalesce(lower(trim(role)), '') END AS role, coalesce(content, '') AS content
+   FROM turns WHERE session_id IS NOT NULL) GROUP BY 1, 2, 3),
+step AS (SELECT *, lag(role) OVER w AS before_role, trunc((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0)::BIGINT AS gap FROM row WINDOW w AS (PARTITION BY session_id ORDER BY timed, spot NULLS FIRST)),
+bin AS (SELECT floor(2 * log2(gap) + 1e-9)::INT AS b, count(*) AS n FROM step WHERE gap > 0 GROUP BY 1),
+ends AS (SELECT (SELECT b FROM bin ORDER BY n DESC, b LIMIT 1) AS mode, (SELECT max(b) FROM bin) AS last),
+h AS (SELECT x.b::INT AS b, coalesce(bin.n, 0) AS n FROM (SELECT unnest(range(mode + 1, last + 1)) AS b FROM ends) x LEFT JOIN bin USING (b)),
+look AS (SELECT h.b, h.n, max(y.n) AS most, arg_max(y.b, (y.n, -y.b)) AS peak, min(y.b) FILTER (y.n > 0) AS next,
+  count(*) FILTER (y.n > 0 AND y.b < h.b + 4) AS near FROM h JOIN h y ON y.b > h.b GROUP BY 1, 2),
+brk AS (SELECT b, CASE WHEN most >= 20 AND most > 2 * n THEN peak ELSE next END AS stop FROM look WHERE (most >= 20 AND most > 2 * n) OR (n = 0 AND near = 0) ORDER BY b LIMIT 1),
+valley AS (SELECT h.* FROM h, brk WHERE h.b >= brk.b AND h.b < brk.stop),
+low AS (SELECT min(n) AS n, (SELECT min(b) FROM valley WHERE n = (SELECT min(n) FROM valley)) AS first FROM valley),
+lim AS (SELECT coalesce((SELECT pow(2, (low.first + coalesce((SELECT min(b) FROM valley, low WHERE valley.b > low.first AND valley.n <> low.n) - 1, (SELECT max(b) FROM valley)) + 1) / 4.0) FROM low WHERE low.n IS NOT NULL),
+  (SELECT quantile_disc(gap, {conversations.GAP_QUANTILE}) FROM step WHERE gap > 0)) AS s)
+SELECT session_id, (row_number() OVER w - 1)::BIGINT AS position, sum(CASE WHEN gap > lim.s THEN 1 ELSE 0 END) OVER w::BIGINT AS segment,
+  CASE WHEN role <> '' THEN role WHEN before_role = 'human' THEN 'assistant' ELSE 'human' END AS role, content, ts
+FROM step SEMI JOIN kept USING (session_id), lim WINDOW w AS (PARTITION BY session_id ORDER BY timed, spot ROWS UNBOUNDED PRECEDING)""",
     "p7_found": _MEMBERS
     + """SELECT file_a, file_b FROM pair JOIN support a ON a.item = file_a JOIN support b ON b.item = file_b, total
          WHERE c >= 5 AND c * total.n >= 3 * a.n * b.n""",
