@@ -210,9 +210,11 @@ def conversations(turns: DataFrame) -> DataFrame:
     placed, ends = sessionise(turns, "content")
     limit = inactivity(placed, ends)
     kept = materialise(_verdicts(_spoken(placed.drop("content"), ends, limit)).where("not broken").select("session_id"), "kept")
-    rows = _spoken(placed.join(kept, "session_id", "left_semi"), ends, limit)
+    # The kept sessions' chunks, so that rows are joined by chunk and no session meets in one task.
+    mine = materialise(ends.join(kept, "session_id", "left_semi"), "kept_ends")
+    rows = _spoken(placed, mine, limit)
     ws = Window.partitionBy("session_id").orderBy("timed", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = _spoken(placed.drop("content").join(kept, "session_id", "left_semi"), ends, limit).groupBy(*CHUNK).agg(F.count("*").alias("n_rows"), F.sum("cut").alias("n_cuts"))
+    sums = _spoken(placed.drop("content"), mine, limit).groupBy(*CHUNK).agg(F.count("*").alias("n_rows"), F.sum("cut").alias("n_cuts"))
     starts = sums.select(*CHUNK, F.coalesce(F.sum("n_rows").over(ws), F.lit(0)).alias("row0"), F.coalesce(F.sum("n_cuts").over(ws), F.lit(0)).alias("cut0"))
     out = rows.join(starts, CHUNK)
     return out.select("session_id", (F.col("row0") + F.col("n") - 1).alias("position"), (F.col("cut0") + F.col("seg")).alias("segment"), "role", "content", "ts")
