@@ -102,3 +102,29 @@ def test_vector_search(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, None)], "id int, e array<float>")
     assert [(r.id, r.score) for r in retrieval.vector_search(v, "id", "e", [1.0, 0.0], 5).collect()] == [(1, 1.0), (2, 0.6)]
     assert v.select(F.count("*")).head()[0] == 5
+
+
+def test_tfidf_of_turns_equals_that_of_the_joined_text(spark):
+    rows = [("s1", "login token"), ("s1", "token fails"), ("s2", "login again"), ("s2", None), ("s3", ""), ("s4", " "), ("s5", ""), ("s5", ""), ("s6", None)]
+    turns = spark.createDataFrame(rows, "id string, content string")
+    joined = spark.createDataFrame([("s1", "login token token fails"), ("s2", "login again"), ("s3", ""), ("s4", " "), ("s5", " "), ("s6", None)], "id string, content string")
+    got, want = ({(r.id, r.term): r.w for r in retrieval.tfidf(d, "id", "content", 1).collect()} for d in (turns, joined))
+    assert got and got == pytest.approx(want)
+
+
+def test_lsa_keeps_the_most_frequent_terms(spark, docs):
+    model = lsa.fit_lsa(docs, "id", "content", 3, most_terms=4)
+    df = Counter(t for _, c in DOCS for t in set(query_terms(c or "")))
+    assert {r.term for r in model.terms.collect()} == set(sorted((t for t in df if df[t] >= 2), key=lambda t: (-df[t], t))[:4])
+
+
+def test_embedder_hashes_turns_and_queries_alike(spark):
+    from threadloom.plans.embed import HashingEmbedder, dense_scores
+
+    e = HashingEmbedder(64)
+    turns = spark.createDataFrame([("a", "login token"), ("a", "again the login"), ("b", "database migration"), ("c", None), ("d", "the of")], "session_id string, content string")
+    vectors = e.sessions(turns)
+    got = {r.session_id: list(r.embedding) for r in vectors.collect()}
+    assert set(got) == {"a", "b"} and got["a"] == pytest.approx(e.query("login token again login"), abs=1e-6)
+    assert dense_scores(vectors, e, "login token").orderBy(F.desc("score")).head().id == "a"
+    assert e.query("") == [0.0] * 64 and dense_scores(vectors, e, "").count() == 0

@@ -71,6 +71,45 @@ def test_deltas_and_places(t):
     assert {r.id: r.position for r in ops.assign_index(t["turns"]).collect()} == {"t1": 0, "t2": 1, "t3": 2, "t4": 3, "t5": 0, "t6": 1}
 
 
+def test_hot_session_is_many_ranges(spark):
+    """One session holds nearly all rows: places, gaps and pairs are the same, and no task has them all."""
+    from threadloom.operators.ranges import numbered, ranged
+
+    rows = [(f"i{k:04d}", "hot" if k % 10 else f"s{k}", k if k % 7 else None, at(1) + dt.timedelta(seconds=(k * k) % 977)) for k in range(1500)]
+    turns = spark.createDataFrame(rows, "id string, session_id string, turn_index int, ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per = ranged(turns, "session_id", F.col("turn_index").asc_nulls_last(), F.col("id").asc()).where("session_id = 'hot'").groupBy("_part").count().collect()
+        assert len(per) > 1 and max(r["count"] for r in per) < 1000
+        want, gaps, last = {}, {}, {}
+        for i, s, k, ts in sorted(rows, key=lambda r: (r[1], r[2] is None, r[2] or 0, r[3], r[0])):
+            want[i] = 0 if s not in last else want[last[s][0]] + 1
+            gaps[i] = 0 if s not in last else max(0, int((ts - last[s][1]).total_seconds()))
+            last[s] = (i, ts)
+        assert {r.id: r.position for r in ops.assign_index(turns).collect()} == want
+        assert {r.id: r.delta_s for r in ops.turn_deltas(turns).collect()} == gaps
+        assert numbered(turns.where("false"), "session_id", "n", F.col("id").asc()).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    calls = spark.createDataFrame([(f"s{k % 2}", f"p{(k * k) % 23}") for k in range(300)], "session_id string, path string")
+    whole = {tuple(r) for r in ops.file_cooccurrence(calls).collect()}
+    assert whole and {tuple(r) for r in ops.file_cooccurrence(calls, block=3).collect()} == whole
+
+
+def test_drill_down(t):
+    got = ops.drill_down(t["sessions"], t["turns"], t["calls"], t["files"], "s1", full=True, offset=1, limit=2).collect()
+    assert {(r.part, r.place, r.label, r.value) for r in got if r.part != "session"} == {
+        ("turn", 1, "assistant", "authentication was fixed"), ("turn", 2, "human", "thanks"), ("call", 0, "Read", "src/auth/a.go"), ("call", 1, "Edit", "src/auth/b.go"), ("call", 2, "Edit", "src/auth/b.go"),
+        ("file", None, "file", "src/auth/a.go"), ("file", None, "file", "README.md"),
+    }
+    assert {r.total for r in got} == {4} and all(r.has_more for r in got) and {r.label: r.value for r in got if r.part == "session"}["author"] == "alice@example.org"
+    assert ops.drill_down(t["sessions"], t["turns"], t["calls"], t["files"], "none", full=True).count() == 0
+    page = {r.id: (r.total, r.has_more) for r in ops.paged(t["turns"], 1, 2).collect()}
+    assert page == {"t2": (4, True), "t3": (4, True), "t6": (2, False)}
+
+
 def test_text_and_browse(t):
     assert {r.session_id: r.content for r in ops.session_text(t["turns"]).collect()}["s2"] == "database migration added a column"
     facets = ops.session_facets(t["sessions"], t["turns"], t["calls"], t["files"], t["checkpoints"])

@@ -122,17 +122,43 @@ def test_export_import_round_trip(spark, captured):
 
 
 def test_index_and_search(spark, captured):
-    root, _, _, store, _, _ = captured
+    root, folder, write, store, _, _ = captured
     idx = str(root / "index")
+    with pytest.raises(ValueError):
+        search.search(spark, idx, "login")
+    # An index that is not there is built.
+    assert search.search(spark, idx, "zzz", source=store, rank_of_model=8).count() == 0
     counts = index.build_index(store, idx, "/repo/", 8)
     assert counts["session_count"] == store.table("sessions").count() and counts["embedding_dim"] > 0
     got = search.search(spark, idx, "login authentication").collect()
     assert got[0].score == 1.0 and got[0].snippet in ("authentication fixed", "fix the login token")
     assert search.search(spark, idx, "login", search.Filters(file="auth.go")).count() == 2
-    assert search.search(spark, idx, "zzz").count() == 0
-    before = spark.read.parquet(f"{idx}/turns_ft").count()
-    index.extend_index(spark, {n: store.table(n) for n in ("turns", "tool_calls")}, idx)
-    assert spark.read.parquet(f"{idx}/turns_ft").count() == before  # nothing new
+    assert {r.session_id for r in search.search(spark, idx, " ").collect()} == {r.id for r in store.table("sessions").collect()}
+    assert index.extend_index(spark, store.truth(), idx) == 0  # nothing new
+    doc = json.loads(search.result_document(search.search(spark, idx, "login", limit=1), "login").head().value)
+    assert (doc["mode"], doc["total"], len(doc["results"]), doc["query"]) == ("hybrid", 1, 1, "login")
+    none = json.loads(search.result_document(search.search(spark, idx, "", search.Filters(author="nobody")), "", search.Filters(author="nobody")).head().value)
+    assert (none["mode"], none["total"], none["results"], none["filters"]["author"]) == ("filter", 0, [], "nobody")
+
+
+def test_a_session_added_by_capture_is_found(spark, captured):
+    root, folder, write, store, commit, _ = captured
+    idx = str(root / "grown")
+    index.build_index(store, idx, "/repo/", 8)
+    assert search.search(spark, idx, "watermelon").count() == 0
+    write("four.jsonl", user("plant the watermelon"), assistant(said("watermelon planted"), use("Write", file_path="/repo/melon.go")))
+    assert capture(store, f"file://{folder}", Commit("eee", "main", "m@example.org", "2025-01-04 00:00:00", ["A\tseed.txt"], "/repo/"), idx) == 1
+    got = search.search(spark, idx, "watermelon").collect()
+    assert len(got) == 1 and got[0].user_email == "m@example.org" and "watermelon" in got[0].snippet and got[0].turn_count == 2
+    assert search.search(spark, idx, "watermelon", search.Filters(file="melon", author="m@example.org", commit="ee")).count() == 1
+    # The same index as one built anew, but for edges and latent vectors.
+    anew = str(root / "anew")
+    index.build_index(store, anew, "/repo/", 8)
+    for name in ("turns_ft", "tool_calls_index", "files_index", "session_facets", "postings"):
+        old, new = (index.Index(spark, i, {}).table(name) for i in (idx, anew))
+        assert sorted(map(repr, old.collect())) == sorted(map(repr, new.collect())), name
+    state = [index.read_state(spark, i) for i in (idx, anew)]
+    assert all(state[0][k] == state[1][k] for k in ("session_count", "turn_count", "token_count"))
 
 
 def test_stream_appends_once(spark, tmp_path):

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from threadloom.durable import materialise
 from threadloom.functions.codes import dense_index
 from threadloom.functions.text import query_terms
-from threadloom.operators.retrieval import tfidf, vector_search
+from threadloom.operators.retrieval import tfidf, vector_search, with_text
+from threadloom.tables import with_row
 
 #: The rank, at most.
 RANK = 128
+#: Terms of the model, at most: those in the most documents. The driver and each task hold so many rows of width numbers
+#: (some 300 MB), whatever the number of documents; TF-IDF and BM25 keep all terms.
+VOCABULARY = 200_000
 #: Columns beyond the rank, passes at most, and the change (relative to the largest value) that ends the iteration.
 OVERSAMPLE, PASSES, TOLERANCE = 16, 15, 1e-4
 
@@ -98,28 +102,37 @@ def _right_factors(rows: DataFrame, n_terms: int, k: int) -> tuple[list[float],
     return [float(x) for x in top[keep]], v[:, keep]
 
 
-def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK) -> LsaModel | None:
-    """Fit on documents with text; None if fewer than two documents or terms are left.
+def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK, most_terms: int = VOCABULARY) -> LsaModel | None:
+    """Fit on documents with text, which may come in several rows; None if fewer than two documents or terms are left.
 
     Rows of the matrix are documents, columns the vocabulary (terms in two documents or
-    more), so what comes back to the driver is bounded by vocabulary times rank, not by
-    the documents; document vectors are computed by a join on terms.
+    more, the *most_terms* most frequent ones of them), so what comes back to the driver
+    is bounded by vocabulary times width, not by the documents.
     """
-    docs = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "")
-    weights = tfidf(docs, id_col, text_col).persist()
-    vocab = dense_index(weights.groupBy("term").agg(F.count("*").alias("df")), "idx", "term").withColumn("idx", F.col("idx").cast("int")).persist()
-    n_docs, n_terms = weights.select("id").distinct().count(), vocab.count()
+    weights = materialise(tfidf(docs, id_col, text_col), "weights")
+    counts = weights.groupBy("term").agg(F.count("*").alias("df"))
+    counts = materialise(counts, "df")
+    if counts.count() > most_terms:
+        ranked = dense_index(counts.withColumn("rare", -F.col("df")), "place", "rare", "term")
+        counts = materialise(ranked.where(F.col("place") < most_terms).select("term", "df"), "frequent")
+    vocab = materialise(dense_index(counts, "idx", "term").withColumn("idx", F.col("idx").cast("int")), "vocabulary")
+    rows = weights.join(vocab.select("term", "idx"), "term").groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
+    rows = materialise(rows, "rows")
+    n_docs, n_terms = rows.count(), vocab.count()
     if n_docs < 2 or n_terms < 2:
         return None
-    k = min(rank, n_docs, n_terms)
-    rows = weights.join(vocab.select("term", "idx"), "term").groupBy("id").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
-    rows = materialise(rows.select("idx", "w"), "rows")
-    sigma, v = _right_factors(rows, n_terms, k)
-    spark = docs.sparkSession
-    vecs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n_terms)], "idx int, vec array<double>")
-    n_all = float(docs.count())
-    terms = vocab.join(vecs, "idx").select("term", "idx", (F.log(F.lit(n_all) / F.col("df")) + 1).alias("idf"), "vec").persist()
-    cells = weights.join(terms.select("term", "vec"), "term").select("id", F.posexplode("vec").alias("dim", "x"), "w")
-    summed = cells.groupBy("id", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-    vectors = summed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "y"))), lambda c: c["y"]).alias("embedding"))
-    return LsaModel(terms, sigma, vectors)
+    sigma, v = _right_factors(rows.select("idx", "w"), n_terms, min(rank, n_docs, n_terms))
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "embedding": [np.asarray(w) @ sent.value[np.asarray(i)] for i, w in zip(b["idx"], b["w"])]})
+
+    def factors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(vec=list(sent.value[b["idx"].to_numpy()]))
+
+    idf = with_row(vocab, with_text(docs, id_col, text_col)).select("term", "idx", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+    terms = idf.mapInPandas(factors, "term string, idx int, idf double, vec array<double>")
+    kind = dict(rows.dtypes)["id"]
+    return LsaModel(materialise(terms, "terms"), sigma, materialise(rows.mapInPandas(vectors, f"id {kind}, embedding array<double>"), "vectors"))

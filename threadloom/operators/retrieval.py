@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.durable import materialise
 from threadloom.functions.text import tokenize
-from threadloom.functions.vectors import cosine, literal
+from threadloom.functions.vectors import cosines
 from threadloom.tables import with_row
 
 #: Published Okapi parameters.
@@ -25,6 +25,25 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") ->
     return post, toks.select("id", F.size("tokens").alias("dl"))
 
 
+def placed_postings(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(term, id, *keep, tf, dl): the inverted index with what a score needs of its document in each posting."""
+    toks = docs.select(F.col(id_col).alias("id"), *keep, tokenize(F.col(text_col)).alias("tokens"))
+    rows = toks.select("id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return rows.groupBy("term", "id", *keep, "dl").agg(F.count("*").alias("tf")).select("term", "id", *keep, "tf", "dl")
+
+
+def bm25_stored(post: DataFrame, n: int, n_tokens: int, k: int | None = CANDIDATES) -> DataFrame:
+    """(id, session_id, turn_index, score): the *k* best documents of the postings of a query's terms; ties go to the smaller id.
+
+    *n* documents with *n_tokens* in all make up the corpus; a document without any of
+    the terms has no row.
+    """
+    df = post.groupBy("term").agg(F.count("*").alias("df"))  # a row per query term
+    part = _bm25_term(F.col("tf"), F.col("dl"), F.col("df"), F.lit(float(n)), F.lit(n_tokens / n if n else 1.0))
+    scored = post.join(F.broadcast(df), "term").groupBy("id", "session_id", "turn_index").agg(F.round(F.sum(part), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
+
+
 def _bm25_term(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
@@ -76,17 +95,26 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row: the number n of documents that have text, if the rows of each are joined by spaces."""
+    joined = docs.groupBy(id_col).agg((F.coalesce(F.sum(F.length(text_col)), F.lit(0)) + F.count(text_col) - 1).alias("length"))
+    return joined.where("length > 0").agg(F.count("*").cast("double").alias("n"))
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 2) -> DataFrame:
     """(id, term, w): augmented term frequency by idf, terms in at least *min_df* documents.
 
-    idf = ln(N / df) + 1 with N the documents that have text; w = (0.5 + 0.5 tf / maxtf) idf
-    with maxtf over the document's terms that are in the vocabulary.
+    A document may come in several rows, such as the turns of a session: its terms are
+    counted row by row and summed, so its text is never put together. idf = ln(N / df) + 1
+    with N the documents that have text (several rows without any count as text, as if
+    joined by spaces); w = (0.5 + 0.5 tf / maxtf) idf with maxtf over the document's terms
+    that are in the vocabulary.
     """
-    tf = term_counts(docs, id_col, text_col)
-    n = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "").agg(F.count("*").cast("double").alias("n"))
+    tf = materialise(term_counts(docs, id_col, text_col), "tf")  # read for df, maxtf and the weights
     vocab = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    known = tf.join(vocab, "term").withColumn("maxtf", F.max("tf").over(Window.partitionBy("id")))
-    return with_row(known, n).select("id", "term", ((0.5 + 0.5 * F.col("tf") / F.col("maxtf")) * (F.log(F.col("n") / F.col("df")) + 1)).alias("w"))
+    known = materialise(tf.join(vocab, "term"), "known")
+    most = known.groupBy("id").agg(F.max("tf").alias("maxtf"))
+    return with_row(known.join(most, "id"), with_text(docs, id_col, text_col)).select("id", "term", ((0.5 + 0.5 * F.col("tf") / F.col("maxtf")) * (F.log(F.col("n") / F.col("df")) + 1)).alias("w"))
 
 
 def tfidf_search(matrix: DataFrame, terms: list[str]) -> DataFrame:
@@ -98,7 +126,8 @@ def tfidf_search(matrix: DataFrame, terms: list[str]) -> DataFrame:
 
 def vector_search(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k: int | None = None) -> DataFrame:
     """(id, score): cosine with *query*, above zero only, best first when *k* is given."""
-    scored = vectors.select(F.col(id_col).alias("id"), F.round(cosine(F.col(vec_col), literal(query)), 6).alias("score")).where("score > 0")
+    named = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    scored = named.mapInArrow(cosines(query), f"id {dict(named.dtypes)['id']}, score double").select("id", F.round("score", 6).alias("score")).where("score > 0")
     return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
 
@@ -111,10 +140,10 @@ def fuse(text: DataFrame, latent: DataFrame, dense: DataFrame | None = None) ->
     tables = [text, latent] + ([dense] if dense is not None else [])
     rows = None
     for i, t in enumerate(tables):
-        part = t.groupBy("id").agg(F.max("score").alias("score")).select("id", F.lit(i).alias("kind"), "score")
+        part = t.select("id", F.lit(i).alias("kind"), "score")
         rows = part if rows is None else rows.unionByName(part)
     per = rows.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("kind") == i, F.col("score"))), F.lit(0.0)).alias(f"s{i}") for i in range(3)])
-    tops = rows.agg(*[F.coalesce(F.max(F.when(F.col("kind") == i, F.col("score"))), F.lit(0.0)).alias(f"m{i}") for i in range(3)])
+    tops = per.agg(*[F.coalesce(F.max(f"s{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(3)])  # from the same shuffle
     share = [F.when(F.col(f"m{i}") > 0, F.col(f"s{i}") / F.col(f"m{i}")).otherwise(0.0) for i in range(3)]
     three = sum((w * s for w, s in zip(WEIGHTS_3, share)), F.lit(0.0))
     two = sum((w * s for w, s in zip(WEIGHTS_2, share)), F.lit(0.0))

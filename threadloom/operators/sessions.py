@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.durable import materialise
 from threadloom.functions.text import first_snippet
+from threadloom.operators.ranges import numbered, with_previous
 
 # Tools that change files, and the change type of files known from tool calls.
 WRITING_TOOLS = ["Write", "Edit", "NotebookEdit"]
 FROM_TOOLS = "T"
+# What a drill-down says about the session itself.
+HEAD = {"author": "user_email", "actor": "actor_type", "branch": "branch", "captured_at": "captured_at"}
 # Fixed value: results of a search when no limit is given.
 DEFAULT_LIMIT = 20
+#: Paths of a session that are paired in one task.
+BLOCK = 1024
 
 
 def links(files_index: DataFrame) -> DataFrame:
@@ -19,21 +25,24 @@ def links(files_index: DataFrame) -> DataFrame:
     return files_index.select("checkpoint_id", "session_id").where("checkpoint_id is not null and session_id is not null").distinct()
 
 
-def latest_checkpoint(files_index: DataFrame, checkpoints: DataFrame) -> DataFrame:
+def latest_checkpoint(linked: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """(session_id, checkpoint_id, git_sha, git_branch) of each session's latest checkpoint by (ts, id)."""
     cp = checkpoints.select(F.col("id").alias("checkpoint_id"), "git_sha", "git_branch", "ts").distinct()
     at = F.struct(F.col("ts").isNotNull(), F.col("ts"), F.col("checkpoint_id"))
-    per = links(files_index).join(cp, "checkpoint_id").groupBy("session_id").agg(F.max_by(F.struct("checkpoint_id", "git_sha", "git_branch"), at).alias("c"))
+    per = linked.join(cp, "checkpoint_id").groupBy("session_id").agg(F.max_by(F.struct("checkpoint_id", "git_sha", "git_branch"), at).alias("c"))
     return per.select("session_id", "c.*")
 
 
-def session_facets(sessions: DataFrame, turns: DataFrame, tool_calls: DataFrame, files_index: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """One row per session: who, where, when, counts of distinct turns, calls and files, latest checkpoint."""
+def session_facets(sessions: DataFrame, turns: DataFrame, tool_calls: DataFrame, files_index: DataFrame, checkpoints: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """One row per session: who, where, when, counts of distinct turns, calls and files, latest checkpoint.
+
+    *linked* are the links of sessions to checkpoints, if there are more than the index shows.
+    """
     t = turns.select("id", "session_id").distinct().groupBy("session_id").agg(F.count("*").alias("turn_count"))
     c = tool_calls.select("id", "session_id").distinct().groupBy("session_id").agg(F.count("*").alias("tool_call_count"))
     f = files_index.groupBy("session_id").agg(F.count_distinct("file_path").alias("file_count"))
     s = sessions.select(F.col("id").alias("session_id"), "user_email", "branch", "actor_type", "agent_id", "captured_at").distinct()
-    out = s.join(latest_checkpoint(files_index, checkpoints), "session_id", "left").join(t, "session_id", "left").join(c, "session_id", "left").join(f, "session_id", "left")
+    out = s.join(latest_checkpoint(links(files_index) if linked is None else linked, checkpoints), "session_id", "left").join(t, "session_id", "left").join(c, "session_id", "left").join(f, "session_id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
     return out.select(
         "session_id", "user_email", F.coalesce("git_branch", "branch").alias("git_branch"), "actor_type", "agent_id", "captured_at",
@@ -53,16 +62,22 @@ def files_supplement(tool_calls: DataFrame, files_index: DataFrame, root: str =
     return new.join(files_index.select("checkpoint_id", "session_id", "file_path"), ["checkpoint_id", "session_id", "file_path"], "left_anti").withColumn("change_type", F.lit(FROM_TOOLS))
 
 
-def file_cooccurrence(tool_calls: DataFrame) -> DataFrame:
+def file_cooccurrence(tool_calls: DataFrame, block: int = BLOCK) -> DataFrame:
     """(file_a, file_b, count): pairs of call rows of one session with file_a < file_b.
 
     Rows fold to (session, path, n) before the join; a pair adds n_a * n_b, which equals
-    the count over row pairs and joins far fewer rows.
+    the count over row pairs and joins far fewer rows. The paths of a session with more
+    than *block* of them are cut into blocks, and each pair of blocks is a key of its own.
     """
     per = tool_calls.where("path is not null and path <> ''").groupBy("session_id", "path").agg(F.count("*").alias("n"))
-    a, b = per.alias("a"), per.alias("b")
-    pairs = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.path") < F.col("b.path")))
-    return pairs.groupBy(F.col("a.path").alias("file_a"), F.col("b.path").alias("file_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("count"))
+    sizes = per.groupBy("session_id").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
+    cut = per.join(sizes, "session_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = materialise(cut.withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks"))), "paths")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    a = cut.select("session_id", F.col("path").alias("file_a"), F.col("n").alias("n_a"), F.col("own").alias("i"), every.alias("j"))
+    b = cut.select("session_id", F.col("path").alias("file_b"), F.col("n").alias("n_b"), every.alias("i"), F.col("own").alias("j"))
+    pairs = a.join(b, ["session_id", "i", "j"]).where("file_a < file_b")
+    return pairs.groupBy("file_a", "file_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("count"))
 
 
 def neighbours_of(edges: DataFrame, pattern: str, k: int) -> DataFrame:
@@ -103,10 +118,37 @@ def turns_page(turns: DataFrame, session_id: str, offset: int = 0, limit: int =
 
 
 def paged(turns: DataFrame, offset: int, limit: int, role: str | None = None) -> DataFrame:
-    """The same page of every session at once, by a window per session."""
+    """The same page of every session at once, each row with the session's total and has_more.
+
+    Each task keeps the first offset + limit rows of a session before they are shuffled,
+    so a long session costs no more than any other.
+    """
     rows = turns if role is None else turns.where(F.col("role") == role)
     w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_last(), "ts", "id")
-    return rows.withColumn("n", F.row_number().over(w)).where((F.col("n") > offset) & (F.col("n") <= offset + limit)).drop("n")
+    page = rows.withColumn("n", F.row_number().over(w)).where((F.col("n") > offset) & (F.col("n") <= offset + limit)).drop("n")
+    totals = rows.groupBy("session_id").agg(F.count("*").alias("total"))
+    return page.join(totals, "session_id").withColumn("has_more", F.col("total") > offset + limit)
+
+
+def drill_down(sessions: DataFrame, turns: DataFrame, tool_calls: DataFrame, files: DataFrame, session_id: str, full: bool = False, offset: int = 0, limit: int = 0, role: str | None = None) -> DataFrame:
+    """One session as rows (part, place, label, value, total, has_more): its facets, a page of its turns and, if *full*, all its calls and files.
+
+    An unknown session gives no rows. Repeated rows count once.
+    """
+    page, total, more = turns_page(turns, session_id, offset, limit, role)
+    row = lambda part, place, label, value: [F.lit(part).alias("part"), place.cast("int").alias("place"), label.alias("label"), value.alias("value")]
+    mine = sessions.where(F.col("id") == session_id)
+    head = mine.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.col(c).cast("string").alias("v")) for i, (n, c) in enumerate(HEAD.items())])).alias("h")).distinct()
+    parts = [head.select(*row("session", F.col("h.i"), F.col("h.n"), F.col("h.v"))), page.select(*row("turn", F.col("turn_index"), F.col("role"), F.col("content")))]
+    if full:
+        calls = tool_calls.where(F.col("session_id") == session_id).select("id", "call_order", "tool", "path").distinct()
+        named = session_files(files.where(F.col("session_id") == session_id))
+        parts += [calls.select(*row("call", F.col("call_order"), F.col("tool"), F.coalesce("path", F.lit("")))), named.select(*row("file", F.lit(None), F.lit("file"), F.col("file_path")))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    known = mine.head() is not None
+    return out.where(F.lit(known)).select("*", F.lit(total).cast("bigint").alias("total"), F.lit(more).alias("has_more"))
 
 
 def checkpoint_log(checkpoints: DataFrame, files_index: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -147,19 +189,21 @@ def browse(facets: DataFrame, files: DataFrame, turns: DataFrame, author: str |
     )
 
 
+def _in_order() -> tuple[Column, ...]:
+    return F.col("turn_index").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("id").asc()
+
+
 def turn_deltas(turns: DataFrame) -> DataFrame:
     """(id, session_id, delta_s): whole seconds since the turn before; 0 for the first, unknown or negative."""
     rows = turns.select("id", "session_id", "turn_index", "ts").distinct()
-    w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_last(), F.col("ts").asc_nulls_last(), "id")
     gap = F.expr("timestampdiff(SECOND, before, ts)")
-    return rows.withColumn("before", F.lag("ts").over(w)).select("id", "session_id", F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("bigint").alias("delta_s"))
+    return with_previous(rows, "session_id", "ts", "before", *_in_order()).select("id", "session_id", F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("bigint").alias("delta_s"))
 
 
 def assign_index(turns: DataFrame) -> DataFrame:
     """(id, session_id, position): a dense 0-based place per session."""
     rows = turns.select("id", "session_id", "turn_index", "ts").distinct()
-    w = Window.partitionBy("session_id").orderBy(F.col("turn_index").asc_nulls_last(), F.col("ts").asc_nulls_last(), "id")
-    return rows.select("id", "session_id", (F.row_number().over(w) - 1).cast("bigint").alias("position"))
+    return numbered(rows, "session_id", "n", *_in_order()).select("id", "session_id", (F.col("n") - 1).cast("bigint").alias("position"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

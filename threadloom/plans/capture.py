@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from threadloom import durable
 from threadloom.durable import materialise
 from threadloom.operators.sessions import WRITING_TOOLS
+from threadloom.plans import index
 from threadloom.plans.store import Store
 from threadloom.sources import scan, transcripts
 from threadloom.tables import with_row
@@ -25,13 +27,23 @@ class Commit:
     root: str = ""
 
 
-def capture(store: Store, folder: str, commit: Commit) -> int:
+def capture(store: Store, folder: str, commit: Commit, index_root: str | None = None) -> int:
     """Capture what changed since the last run; the number of sessions captured.
 
+    The index at *index_root*, if one is built there, is extended by the new sessions.
+
     A file counts by its content hash, so a second run captures nothing. Ids are derived
     from the content, so a repeated or interrupted run appends no row twice. Files
     without turns and calls give no session; without any session there is no checkpoint.
     """
+    with durable.scope(store.spark):
+        n = _capture(store, folder, commit)
+    if n and index_root and index.read_state(store.spark, index_root):
+        index.extend_index(store.spark, store.truth(), index_root, commit.root)
+    return n
+
+
+def _capture(store: Store, folder: str, commit: Commit) -> int:
     spark = store.spark
     files = materialise(scan.changed(scan.file_state(spark, folder), store.state(), store.table("sessions")), "files")
     recs = transcripts.records(transcripts.read_lines(spark, folder).join(files.select("file_name"), "file_name", "left_semi"))

@@ -22,6 +22,10 @@ class Store:
         except AnalysisException:
             return self.spark.createDataFrame([], TRUTH[name])
 
+    def truth(self) -> dict[str, DataFrame]:
+        """The tables an index is derived from."""
+        return {n: self.table(n) for n in ("sessions", "turns", "tool_calls", "checkpoints", "files_touched", "checkpoint_sessions")}
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Append rows in the table's columns; rows whose key is there already, or repeated, are left out."""
         cols = [c.split()[0] for c in TRUTH[name].split(", ")]

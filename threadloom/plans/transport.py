@@ -73,7 +73,7 @@ def merge_team(own: dict[str, DataFrame], others: list[dict[str, DataFrame]]) ->
 
     out = dict(own)
     for other in others:
-        for name in PARTS:
+        for name in own:
             new = other[name].select(*out[name].columns).dropDuplicates(KEYS[name])
             out[name] = out[name].unionByName(new.join(out[name].select(*KEYS[name]), KEYS[name], "left_anti").select(*out[name].columns))
     return out

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from hashlib import sha1
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import codes
-from threadloom.functions.text import SUFFIXES, STOPWORDS, kwic, query_terms, sanitise_path, tokenize
+from threadloom.functions.text import SUFFIXES, STOPWORDS, iso_utc, kwic, query_terms, sanitise_path, tokenize
 from threadloom.functions.vectors import cosine, literal
-from threadloom.operators import lsa, retrieval
+from threadloom.operators import retrieval
 from threadloom.operators import sessions as ops
-from threadloom.plans import search, transport
+from threadloom import durable
+from threadloom.plans import embed, index, search, transport
+from threadloom.plans.store import Store
 from threadloom.sources import scan, transcripts
 from threadloom.tables import load
 
 QUERY = "retry queue timeout checkpoint"
 TERMS = query_terms(QUERY)
 PATH = r"auth.*\.go$"
+ROOT = "services/"
+EMBEDDER = embed.HashingEmbedder()
 
 
 def rows(name: str, *columns: str):
@@ -46,43 +53,97 @@ def text_scores(s: SparkSession, d: str) -> DataFrame:
     return retrieval.best_turn(hits(s, d)).select(F.col("session_id").alias("id"), "score")
 
 
-def latent_scores(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.tfidf_search(retrieval.tfidf(texts(s, d), "session_id", "content"), TERMS)
+def tfidf_matrix(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.tfidf(rows("turns", "id", "session_id", "turn_index", "ts", "content")(s, d), "session_id", "content")
+
+
+def tfidf_scores(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.tfidf_search(tfidf_matrix(s, d), TERMS)
+
+
+def usable_vectors(s: SparkSession, d: str, model: str) -> DataFrame:
+    """(session_id, embedding): the latest usable vector of each session: of the model's most frequent length, finite, not all zero."""
+    v = load(s, d, "session_embeddings").where((F.col("model") == model) & F.col("session_id").isNotNull() & (F.size("embedding") > 0))
+    dim = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).select("n").scalar()
+    good = v.where((F.size("embedding") == dim) & F.expr("exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x))"))
+    return good.groupBy("session_id").agg(F.max_by("embedding", F.struct("generated_at", "embedding")).alias("embedding"))
+
+
+def vector_scores(s: SparkSession, d: str, model: str) -> DataFrame:
+    """Scores against the vector of the first session, which stands in for a query's."""
+    v = durable.materialise(usable_vectors(s, d, model), "vectors")
+    first = v.orderBy("session_id").limit(1).collect()
+    return retrieval.vector_search(v, "session_id", "embedding", list(first[0].embedding) if first else [])
 
 
-def query_vector(s: SparkSession, d: str) -> list[float]:
-    """The dense vector of the first session that has a full one, as the query's."""
-    v = load(s, d, "session_embeddings").where("model = 'nomic' and size(embedding) = 96 and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x))")
-    r = v.groupBy("session_id").agg(F.max("embedding").alias("e")).orderBy("session_id").limit(1).collect()
-    return list(r[0].e) if r else []
+def latent_scores(s: SparkSession, d: str) -> DataFrame:
+    return vector_scores(s, d, "lsa")
 
 
 def dense_scores(s: SparkSession, d: str) -> DataFrame:
-    v = load(s, d, "session_embeddings").where("model = 'nomic' and forall(embedding, x -> x is not null and not isnan(x))")
-    one = v.groupBy("session_id").agg(F.max("embedding").alias("embedding"))
-    return retrieval.vector_search(one, "session_id", "embedding", query_vector(s, d))
+    return vector_scores(s, d, "nomic")
 
 
 def facets(s: SparkSession, d: str) -> DataFrame:
     return ops.session_facets(sessions(s, d), turns(s, d), calls(s, d), files(s, d), checkpoints(s, d))
 
 
-def hybrid(s: SparkSession, d: str, filters: search.Filters | None = None) -> DataFrame:
-    return search.hybrid(turns(s, d), hits(s, d), latent_scores(s, d), dense_scores(s, d), facets(s, d), files(s, d), QUERY, filters)
+def hybrid(s: SparkSession, d: str, latent, filters: search.Filters | None = None) -> DataFrame:
+    return search.hybrid(turns(s, d), hits(s, d), latent(s, d), dense_scores(s, d), facets(s, d), files(s, d), QUERY, filters)
+
+
+def fused(s: SparkSession, d: str, latent, with_dense: bool) -> DataFrame:
+    f = retrieval.fuse(text_scores(s, d), latent(s, d), dense_scores(s, d) if with_dense else None)
+    return f.select("id", F.round(F.col("score") + 1e-9, 5).alias("score"))
+
+
+def truth(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What the index of the given tables is derived from."""
+    return {n: load(s, d, n) for n in ("sessions", "turns", "tool_calls", "checkpoints", "files_index")}
+
+
+def index_root(s: SparkSession, d: str) -> str:
+    return f"{durable.shared_dir(s)}/threadloom-index-{s.sparkContext.applicationId}-{sha1(d.encode()).hexdigest()[:16]}"
+
 
+def opened(s: SparkSession, d: str) -> index.Index:
+    """The stored index of the given tables, built by the first query of a session that needs it."""
+    return index.open_index(s, index_root(s, d), truth(s, d), embedder=EMBEDDER)
 
-def fused(s: SparkSession, d: str, with_dense: bool) -> DataFrame:
-    f = retrieval.fuse(text_scores(s, d), latent_scores(s, d), dense_scores(s, d) if with_dense else None)
-    return f.select("id", F.round("score", 5).alias("score"))
 
+def index_build(s: SparkSession, d: str) -> DataFrame:
+    counts = index.write_index(s, truth(s, d), index_root(s, d), embedder=EMBEDDER)
+    return s.createDataFrame([*counts.items()], "key string, n bigint")
 
-def lsa_search(s: SparkSession, d: str) -> DataFrame:
-    model = lsa.fit_lsa(texts(s, d), "session_id", "content", 32)
-    return model.search(QUERY)
 
+def index_hits(s: SparkSession, d: str) -> DataFrame:
+    ix = opened(s, d)
+    return retrieval.bm25_stored(ix.postings(TERMS), ix.number("turn_count"), ix.number("token_count"))
 
-def lsa_vectors(s: SparkSession, d: str) -> DataFrame:
-    return lsa.fit_lsa(texts(s, d), "session_id", "content", 32).vectors.select("id", F.size("embedding").alias("dim"))
+
+def index_search(s: SparkSession, d: str, query: str = QUERY, filters: search.Filters | None = None) -> DataFrame:
+    return search.search(s, index_root(s, d), query, filters, embedder=EMBEDDER, source=truth(s, d))
+
+
+def drill_down(s: SparkSession, d: str) -> DataFrame:
+    """A page of the last session with its calls and files."""
+    last = sessions(s, d).agg(F.max("id")).head()[0]
+    placed_turns = rows("turns", "id", "session_id", "turn_index", "role", "content", "ts")(s, d)
+    return ops.drill_down(sessions(s, d), placed_turns, calls(s, d), files(s, d), last, full=True, offset=1, limit=3)
+
+
+def round_trip(s: SparkSession, d: str) -> DataFrame:
+    """(table, n) of a store that imported what another one, filled from the given tables, exported."""
+    root = f"{durable.shared_dir(s)}/threadloom-trip-{uuid4().hex}"
+    mine, theirs = Store(s, f"{root}/mine"), Store(s, f"{root}/theirs")
+    for name in ("sessions", "turns", "tool_calls", "checkpoints"):
+        mine.append(name, load(s, d, name))
+    f = touched(s, d).select("checkpoint_id", "file_path", "change_type").distinct()
+    mine.append("files_touched", f.select(F.sha2(F.to_json(F.struct(*f.columns)), 256).alias("id"), *f.columns))
+    mine.append("checkpoint_sessions", ops.links(files(s, d)))
+    transport.export_delta(mine, f"{root}/out", "first")
+    transport.import_batches(theirs, f"{root}/out")
+    return s.createDataFrame([(n, theirs.table(n).count()) for n in transport.PARTS] + [("unexported", theirs.unexported().count())], "table string, n bigint")
 
 
 def cosine_topk(s: SparkSession, d: str) -> DataFrame:
@@ -116,7 +177,7 @@ def union_merge(s: SparkSession, d: str) -> DataFrame:
     """Two members' sessions that overlap, merged."""
     x = sessions(s, d).select("id", "user_email", "branch").distinct()
     mine, theirs = x.where("branch like 'fix/%'"), x.where("branch is null or branch not like 'fix/c%'")
-    return mine.unionByName(theirs.join(mine.select("id"), "id", "left_anti"))
+    return transport.merge_team({"sessions": mine}, [{"sessions": theirs}])["sessions"]
 
 
 def export_held(s: SparkSession, d: str) -> DataFrame:
@@ -153,28 +214,45 @@ QUERIES = {
     "bm25_index_turns": lambda s, d: retrieval.bm25(*retrieval.postings(said(s, d)), TERMS),
     "bm25_best_turn": lambda s, d: retrieval.best_turn(hits(s, d)),
     "bm25_documents": lambda s, d: retrieval.bm25_scan(load(s, d, "documents"), "doc_id", "text", TERMS).orderBy(F.desc("score"), "id").limit(20),
-    "tfidf_matrix": lambda s, d: retrieval.tfidf(texts(s, d), "session_id", "content").select("id", "term", F.round("w", 6).alias("w")),
-    "tfidf_search": latent_scores,
-    "lsa_vectors": lsa_vectors,
-    "lsa_search": lsa_search,
+    "tfidf_matrix": lambda s, d: tfidf_matrix(s, d).select("id", "term", F.round("w", 6).alias("w")),
+    "tfidf_search": tfidf_scores,
+    "index_build": index_build,
+    "index_postings": lambda s, d: opened(s, d).table("postings").drop("bucket"),
+    "index_bm25": index_hits,
+    "index_facets": lambda s, d: opened(s, d).table("session_facets"),
+    "index_files": lambda s, d: opened(s, d).table("files_index"),
+    "index_edges": lambda s, d: opened(s, d).table("file_cooccurrence"),
+    "index_search_document": lambda s, d: search.result_document(index_search(s, d), QUERY),
+    "index_filter_search": lambda s, d: index_search(s, d, "", search.Filters(file=PATH, actor="human")).drop("snippet"),
+    "lsa_vectors": lambda s, d: opened(s, d).vectors(index.LATENT),
+    "lsa_search": lambda s, d: opened(s, d).model().search(QUERY),
+    "embed_sessions": lambda s, d: EMBEDDER.sessions(turns(s, d).dropDuplicates(["id"])).select("session_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding")),
+    "session_drill_down": drill_down,
+    "store_round_trip": round_trip,
     "cosine_topk": cosine_topk,
     "dense_by_label": dense_by_label,
     "dense_search": dense_scores,
-    "fusion_2way": lambda s, d: fused(s, d, False),
-    "fusion_3way": lambda s, d: fused(s, d, True),
-    "hybrid_search": hybrid,
-    "hybrid_search_filtered": lambda s, d: hybrid(s, d, search.Filters(file=r"\.go$", actor="human")),
-    "hybrid_ranked": lambda s, d: hybrid(s, d).drop("snippet"),
-    "hybrid_ranked_filtered": lambda s, d: hybrid(s, d, search.Filters(file=r"\.go$", actor="human")).drop("snippet"),
+    "latent_search": latent_scores,
+    "fusion_2way": lambda s, d: fused(s, d, latent_scores, False),
+    "fusion_3way": lambda s, d: fused(s, d, latent_scores, True),
+    "fusion_2way_tfidf": lambda s, d: fused(s, d, tfidf_scores, False),
+    "fusion_3way_tfidf": lambda s, d: fused(s, d, tfidf_scores, True),
+    "hybrid_search": index_search,
+    "hybrid_search_filtered": lambda s, d: index_search(s, d, filters=search.Filters(file=r"\.go$", actor="human")),
+    "hybrid_ranked": lambda s, d: hybrid(s, d, latent_scores).drop("snippet"),
+    "hybrid_ranked_filtered": lambda s, d: hybrid(s, d, latent_scores, search.Filters(file=r"\.go$", actor="human")).drop("snippet"),
+    "hybrid_ranked_tfidf": lambda s, d: hybrid(s, d, tfidf_scores).drop("snippet"),
     "filter_search": lambda s, d: ops.browse(facets(s, d), files(s, d), turns(s, d), actor="human", file=PATH).drop("snippet"),
     "session_text": lambda s, d: texts(s, d).select("session_id", F.sha2("content", 256).alias("digest")),
     "session_totals": lambda s, d: placed(s, d).groupBy("session_id", F.lower(F.trim("role")).alias("role")).agg(F.count("*").alias("n")),
-    "turns_page": lambda s, d: ops.paged(placed(s, d), 2, 5).select("id", "session_id", "turn_index"),
-    "turns_page_role": lambda s, d: ops.paged(placed(s, d), 0, 3, "human").select("id", "session_id", "turn_index"),
+    "turns_page": lambda s, d: ops.paged(placed(s, d), 2, 5).select("id", "session_id", "turn_index", "total", "has_more"),
+    "turns_page_role": lambda s, d: ops.paged(placed(s, d), 0, 3, "human").select("id", "session_id", "turn_index", "total", "has_more"),
     "checkpoint_log": lambda s, d: ops.checkpoint_log(checkpoints(s, d), files(s, d)),
     "log_report": lambda s, d: ops.log_report(ops.checkpoint_log(checkpoints(s, d), files(s, d))),
     "session_facets": facets,
     "files_index_supplement": lambda s, d: ops.files_supplement(calls(s, d), files(s, d)),
+    "files_index_supplement_root": lambda s, d: ops.files_supplement(calls(s, d), files(s, d), ROOT),
+    "touched_files": lambda s, d: scan.touched(files(s, d).select("change_type", "file_path").where("file_path is not null").distinct(), calls(s, d).where(F.col("tool").isin(ops.WRITING_TOOLS)).select("path"), ROOT),
     "file_cooccurrence": lambda s, d: ops.file_cooccurrence(called(s, d)),
     "cooccurrence_neighbours": lambda s, d: ops.neighbours_of(ops.file_cooccurrence(called(s, d)), PATH, 20),
     "semi_join_regex": lambda s, d: sessions(s, d).select("id", "user_email").distinct().join(files(s, d).where(F.col("file_path").rlike(PATH)).select(F.col("session_id").alias("id")), "id", "left_semi"),
@@ -194,6 +272,7 @@ QUERIES = {
     "export_delta": export_held,
     "import_new": import_new,
     "parse_transcript_turns": parsed_turns,
+    "parse_transcript_times": lambda s, d: transcripts.turns(transcripts.records(load(s, d, "transcript_lines"))).select("file_name", "turn_index", iso_utc(F.col("ts")).alias("stamp")),
     "parse_transcript_tools": lambda s, d: transcripts.tool_calls(transcripts.records(load(s, d, "transcript_lines"))),
     "parse_transcript_sessions": lambda s, d: transcripts.sessions(transcripts.records(load(s, d, "transcript_lines"))),
     "json_field_fallback": json_fallback,
@@ -232,24 +311,30 @@ _HITS = f"""{_TOK}, {_bm25_sql('tok')}, hit AS (SELECT s.id, k.session_id, k.tur
 _BEST = """best AS (SELECT session_id, id AS turn_id, turn_index, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, coalesce(turn_index, 2147483647), id DESC) AS k
   FROM hit WHERE score > 0) WHERE k = 1)"""
 _TEXTS = "doc AS (SELECT session_id AS id, string_agg(coalesce(content, ''), ' ' ORDER BY coalesce(turn_index, 2147483647), ts NULLS FIRST, id) AS content FROM (SELECT DISTINCT id, session_id, turn_index, ts, content FROM turns) GROUP BY 1)"
-_TFIDF = f"""{_TEXTS}, dtf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens_sql('content')}) AS term FROM doc) GROUP BY 1, 2),
+_TFIDF = f"""doc AS (SELECT session_id AS id, string_agg(content, ' ') AS content FROM (SELECT DISTINCT id, session_id, turn_index, ts, content FROM turns) GROUP BY 1), dtf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens_sql('content')}) AS term FROM doc) GROUP BY 1, 2),
 vocab AS (SELECT term, count(*) AS df FROM dtf GROUP BY 1 HAVING count(*) >= 2), total AS (SELECT count(*)::DOUBLE AS n FROM doc WHERE content <> ''),
 matrix AS (SELECT id, term, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY id)) * (ln(n / df) + 1) AS w FROM dtf JOIN vocab USING (term), total),
-latent AS (SELECT id, round(dot / (norm * sqrt({len(set(TERMS))}.0)), 6) AS score FROM (
+tfidf AS (SELECT id, round(dot / (norm * sqrt({len(set(TERMS))}.0)), 6) AS score FROM (
   SELECT id, sum(CASE WHEN term IN ({_TERMS}) THEN w ELSE 0 END) AS dot, sqrt(sum(w * w)) AS norm FROM matrix GROUP BY 1) WHERE dot > 0)"""
-_DENSE = """full_vec AS (SELECT session_id, max(embedding) AS e FROM session_embeddings WHERE model = 'nomic' AND len(embedding) = 96
-  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
-q AS (SELECT e FROM full_vec ORDER BY session_id LIMIT 1),
-dense AS (SELECT * FROM (SELECT f.session_id AS id, round(list_cosine_similarity(f.e::DOUBLE[], q.e::DOUBLE[]), 6) AS score FROM full_vec f, q) WHERE score > 0)"""
 
 
-def _fusion_sql(dense: bool) -> str:
+def _vector_sql(name: str, model: str) -> str:
+    """Scores against the vector of the first session, of the latest usable vector of each."""
+    return f"""{name}_one AS (SELECT session_id, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY generated_at DESC NULLS LAST, embedding DESC) AS k FROM session_embeddings
+  WHERE model = '{model}' AND session_id IS NOT NULL AND len(embedding) = (SELECT len(embedding) AS n FROM session_embeddings WHERE model = '{model}' AND len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, n DESC LIMIT 1)
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) WHERE k = 1),
+{name} AS (SELECT * FROM (SELECT f.session_id AS id, round(list_cosine_similarity(f.e::DOUBLE[], q.e::DOUBLE[]), 6) AS score
+  FROM {name}_one f, (SELECT e FROM {name}_one ORDER BY session_id LIMIT 1) q) WHERE score > 0)"""
+
+
+def _fusion_sql(dense: bool, latent: str = "latent") -> str:
     third = "UNION ALL SELECT id, 2, score FROM dense" if dense else ""
+    second = _TFIDF if latent == "tfidf" else _vector_sql("latent", "lsa")
     share = lambda i: f"CASE WHEN m{i} > 0 THEN s{i} / m{i} ELSE 0 END"
     two, three = f"0.4 * {share(0)} + 0.6 * {share(1)}", f"0.35 * {share(0)} + 0.1 * {share(1)} + 0.55 * {share(2)}"
     cols = lambda p: ", ".join(f"coalesce(max(CASE WHEN kind = {i} THEN score END), 0) AS {p}{i}" for i in range(3))
-    return f"""{_HITS}, {_BEST}, {_TFIDF}{', ' + _DENSE if dense else ''},
-part AS (SELECT session_id AS id, 0 AS kind, score FROM best UNION ALL SELECT id, 1, score FROM latent {third}),
+    return f"""{_HITS}, {_BEST}, {second}{', ' + _vector_sql('dense', 'nomic') if dense else ''},
+part AS (SELECT session_id AS id, 0 AS kind, score FROM best UNION ALL SELECT id, 1, score FROM {latent} {third}),
 per AS (SELECT id, {cols('s')} FROM part GROUP BY 1), tops AS (SELECT {cols('m')} FROM part),
 fused AS (SELECT id, CASE WHEN m2 > 0 THEN {three} ELSE {two} END AS score FROM per, tops)"""
 
@@ -268,8 +353,8 @@ _EDGES = """c AS (SELECT DISTINCT * FROM tool_calls), edge AS (SELECT a.path AS
 _ORDER = "PARTITION BY session_id ORDER BY turn_index NULLS LAST, ts NULLS LAST, id"
 _PAGE = "PARTITION BY session_id ORDER BY turn_index NULLS LAST, ts NULLS FIRST, id"
 
-def _hybrid_sql(where: str) -> str:
-    return f"""WITH {_fusion_sql(True)}, {_FACETS}
+def _hybrid_sql(where: str, latent: str = "latent") -> str:
+    return f"""WITH {_fusion_sql(True, latent)}, {_FACETS}
         SELECT f.session_id, floor(fused.score * 100 + 0.5) / 100 AS score, coalesce(best.turn_index, 0) AS snippet_turn_index, coalesce(u.role, '') AS snippet_role,
                f.user_email, f.git_branch, f.actor_type, f.captured_at, f.turn_count
         FROM fused JOIN facets f ON f.session_id = fused.id LEFT JOIN best ON best.session_id = fused.id LEFT JOIN (SELECT DISTINCT id, role FROM turns) u ON u.id = best.turn_id
@@ -285,6 +370,12 @@ tool AS (SELECT file_name, line_no, pos, coalesce(json_extract_string(b, '$.name
   coalesce(nullif(json_extract_string(b, '$.input.file_path'), ''), json_extract_string(b, '$.input.path'), '') AS path, coalesce(json_extract_string(b, '$.input.command'), '') AS command
   FROM blk WHERE type = 'assistant' AND role = 'assistant' AND json_extract_string(b, '$.type') = 'tool_use')"""
 
+_SAID = f"""{_RECORDS}, {_BLOCKS},
+        txt AS (SELECT file_name, line_no, string_agg(json_extract_string(b, '$.text'), chr(10) ORDER BY pos) AS content FROM blk
+          WHERE json_extract_string(b, '$.type') = 'text' AND coalesce(json_extract_string(b, '$.text'), '') <> '' GROUP BY 1, 2),
+        said AS (SELECT r.file_name, r.line_no, json_extract_string(r.j, '$.timestamp') AS stamp, CASE WHEN r.type = 'user' THEN 'human' ELSE 'assistant' END AS role,
+          CASE WHEN json_type(r.j, '$.message.content') = 'VARCHAR' THEN json_extract_string(r.j, '$.message.content') ELSE coalesce(t.content, '') END AS content
+          FROM rec r LEFT JOIN txt t USING (file_name, line_no) WHERE (r.type = 'user' AND r.role = 'user') OR (r.type = 'assistant' AND r.role = 'assistant'))"""
 _CUT = "left(text, list_max(list_filter(range(0, 301), lambda k: strlen(left(text, k)) <= 300))) || '...'"
 
 SQL = {
@@ -306,13 +397,10 @@ SQL = {
         left(command, 100) AS cmd_prefix FROM tool""",
     "json_field_fallback": f"WITH {_RECORDS}, {_BLOCKS} SELECT tool, count(*) AS n, count(*) FILTER (WHERE path <> '') AS n_path FROM tool GROUP BY 1",
     # The given lines hold no plans, so plan turns need no statement here.
-    "parse_transcript_turns": f"""WITH {_RECORDS}, {_BLOCKS},
-        txt AS (SELECT file_name, line_no, string_agg(json_extract_string(b, '$.text'), chr(10) ORDER BY pos) AS content FROM blk
-          WHERE json_extract_string(b, '$.type') = 'text' AND coalesce(json_extract_string(b, '$.text'), '') <> '' GROUP BY 1, 2),
-        said AS (SELECT r.file_name, r.line_no, CASE WHEN r.type = 'user' THEN 'human' ELSE 'assistant' END AS role,
-          CASE WHEN json_type(r.j, '$.message.content') = 'VARCHAR' THEN json_extract_string(r.j, '$.message.content') ELSE coalesce(t.content, '') END AS content
-          FROM rec r LEFT JOIN txt t USING (file_name, line_no) WHERE (r.type = 'user' AND r.role = 'user') OR (r.type = 'assistant' AND r.role = 'assistant'))
+    "parse_transcript_turns": f"""WITH {_SAID}
         SELECT file_name, (row_number() OVER (PARTITION BY file_name ORDER BY line_no) - 1)::INT AS turn_index, role, content FROM said WHERE content <> ''""",
+    "parse_transcript_times": f"""WITH {_SAID}
+        SELECT file_name, (row_number() OVER (PARTITION BY file_name ORDER BY line_no) - 1)::INT AS turn_index, strftime(TRY_CAST(stamp AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM said WHERE content <> ''""",
     "parse_transcript_sessions": f"""WITH {_RECORDS} SELECT file_name, arg_min(json_extract_string(j, '$.sessionId'), line_no) FILTER (WHERE coalesce(json_extract_string(j, '$.sessionId'), '') <> '') AS session,
         arg_min(json_extract_string(j, '$.gitBranch'), line_no) FILTER (WHERE coalesce(json_extract_string(j, '$.gitBranch'), '') <> '') AS branch, count(*) AS n_lines FROM rec GROUP BY 1""",
     "log_report": f"""WITH {_LINK} SELECT id, 'checkpoint ' || coalesce(git_sha, 'null') || chr(10) || 'Branch: ' || coalesce(git_branch, 'null') || chr(10) || 'Author: ' || coalesce(user_email, 'null') || chr(10)
@@ -327,22 +415,58 @@ SQL = {
     "bm25_best_turn": f"WITH {_HITS}, {_BEST} SELECT * FROM best",
     "bm25_documents": f"WITH tok AS (SELECT doc_id AS id, {_tokens_sql('text')} AS tokens FROM documents), {_bm25_sql('tok')} SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 20",
     "tfidf_matrix": f"WITH {_TFIDF} SELECT id, term, round(w, 6) AS w FROM matrix",
-    "tfidf_search": f"WITH {_TFIDF} SELECT * FROM latent",
+    "tfidf_search": f"WITH {_TFIDF} SELECT * FROM tfidf",
     "cosine_topk": """SELECT vec_id AS id, score FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE score > 0 ORDER BY score DESC, id LIMIT 20""",
     "dense_by_label": """SELECT label, max(score) AS best, count(*) AS n FROM (SELECT e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE score > 0 GROUP BY 1""",
-    "dense_search": f"WITH {_DENSE} SELECT * FROM dense",
-    "fusion_2way": f"WITH {_fusion_sql(False)} SELECT id, round(score, 5) AS score FROM fused",
-    "fusion_3way": f"WITH {_fusion_sql(True)} SELECT id, round(score, 5) AS score FROM fused",
-    "filter_search": f"""WITH {_FACETS}, f AS (SELECT session_id, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS files FROM files_index GROUP BY 1)
+    "dense_search": f"WITH {_vector_sql('dense', 'nomic')} SELECT * FROM dense",
+    "latent_search": f"WITH {_vector_sql('latent', 'lsa')} SELECT * FROM latent",
+    "fusion_2way_tfidf": f"WITH {_fusion_sql(False, 'tfidf')} SELECT id, round(score + 1e-9, 5) AS score FROM fused",
+    "fusion_3way_tfidf": f"WITH {_fusion_sql(True, 'tfidf')} SELECT id, round(score + 1e-9, 5) AS score FROM fused",
+    "hybrid_ranked_tfidf": _hybrid_sql("true", "tfidf"),
+    "index_build": """SELECT 'session_count' AS key, count(DISTINCT id) AS n FROM sessions UNION ALL SELECT 'turn_count', count(DISTINCT id) FROM turns UNION ALL SELECT 'embedding_dim', 128""",
+    "index_postings": f"WITH {_TOK}, {_TF} SELECT term, tf.id, session_id, turn_index, tf, len(tokens)::INT AS dl FROM tf JOIN tok USING (id)",
+    "index_bm25": f"WITH {_HITS} SELECT id, session_id, turn_index, score FROM hit",
+    "index_facets": f"WITH {_FACETS} SELECT * FROM facets",
+    "index_files": f"""WITH {_LINK} SELECT DISTINCT checkpoint_id, session_id, file_path, change_type FROM files_index UNION ALL SELECT DISTINCT l.checkpoint_id, c.session_id, c.path, 'T' FROM tool_calls c JOIN link l USING (session_id)
+        WHERE c.tool IN ('Write', 'Edit', 'NotebookEdit') AND length(c.path) > 0
+        AND NOT EXISTS (SELECT 1 FROM files_index f WHERE f.checkpoint_id = l.checkpoint_id AND f.session_id = c.session_id AND f.file_path = c.path)""",
+    "index_edges": f"WITH {_EDGES} SELECT * FROM edge",
+    "embed_sessions": f"""WITH {_TOK}, x AS (SELECT session_id, ('0x' || left(md5(term), 8))::BIGINT % 256 AS place, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END) AS x
+          FROM (SELECT session_id, unnest(tokens) AS term FROM tok WHERE session_id IS NOT NULL) GROUP BY 1, 2),
+        per AS (SELECT session_id, map_from_entries(list((place, x))) AS m, sqrt(sum(x * x)) AS norm FROM x WHERE x <> 0 GROUP BY 1)
+        SELECT session_id, list_transform(range(0, 256), lambda p: round((coalesce(m[p], 0) / norm)::FLOAT::DOUBLE, 5)) AS embedding FROM per""",
+    "session_drill_down": """WITH last AS (SELECT max(id) AS id FROM sessions),
+        turn AS (SELECT *, row_number() OVER (ORDER BY turn_index NULLS LAST, ts NULLS FIRST, id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT id, turn_index, role, content, ts FROM turns WHERE session_id = (SELECT id FROM last))),
+        head AS (SELECT DISTINCT user_email, actor_type, branch, captured_at FROM sessions WHERE id = (SELECT id FROM last)),
+        part AS (SELECT 'turn' AS part, turn_index::INT AS place, role AS label, content AS value FROM turn WHERE k > 1 AND k <= 4
+          UNION ALL SELECT 'session', 0, 'author', user_email FROM head UNION ALL SELECT 'session', 1, 'actor', actor_type FROM head UNION ALL SELECT 'session', 2, 'branch', branch FROM head
+          UNION ALL SELECT 'session', 3, 'captured_at', rtrim(rtrim(strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') FROM head
+          UNION ALL SELECT 'call', call_order::INT, tool, coalesce(path, '') FROM (SELECT DISTINCT id, call_order, tool, path FROM tool_calls WHERE session_id = (SELECT id FROM last))
+          UNION ALL SELECT DISTINCT 'file', NULL::INT, 'file', file_path FROM files_index WHERE session_id = (SELECT id FROM last) AND file_path IS NOT NULL)
+        SELECT part.*, coalesce((SELECT max(n) FROM turn), 0) AS total, coalesce((SELECT max(n) FROM turn), 0) > 4 AS has_more FROM part""",
+    "store_round_trip": """WITH link AS (SELECT DISTINCT checkpoint_id, session_id FROM files_index WHERE checkpoint_id IN (SELECT id FROM checkpoints) AND session_id IN (SELECT id FROM sessions))
+        SELECT 'sessions' AS "table", count(DISTINCT session_id) AS n FROM link UNION ALL SELECT 'turns', count(DISTINCT id) FROM turns WHERE session_id IN (SELECT session_id FROM link)
+        UNION ALL SELECT 'tool_calls', count(DISTINCT id) FROM tool_calls WHERE session_id IN (SELECT session_id FROM link) UNION ALL SELECT 'checkpoints', count(DISTINCT id) FROM checkpoints
+        UNION ALL SELECT 'files_touched', count(*) FROM (SELECT DISTINCT checkpoint_id, file_path, change_type FROM files_index WHERE checkpoint_id IN (SELECT id FROM checkpoints))
+        UNION ALL SELECT 'checkpoint_sessions', count(*) FROM link UNION ALL SELECT 'unexported', 0""",
+    "files_index_supplement_root": f"""WITH {_LINK} SELECT DISTINCT l.checkpoint_id, c.session_id, replace(c.path, '{ROOT}', '') AS file_path, 'T' AS change_type FROM tool_calls c JOIN link l USING (session_id)
+        WHERE c.tool IN ('Write', 'Edit', 'NotebookEdit') AND starts_with(c.path, '{ROOT}')
+        AND NOT EXISTS (SELECT 1 FROM files_index f WHERE f.checkpoint_id = l.checkpoint_id AND f.session_id = c.session_id AND f.file_path = replace(c.path, '{ROOT}', ''))""",
+    "touched_files": f"""WITH git AS (SELECT DISTINCT change_type, file_path FROM files_index WHERE file_path IS NOT NULL)
+        SELECT * FROM git UNION ALL SELECT 'T', p FROM (SELECT DISTINCT CASE WHEN starts_with(path, '{ROOT}') THEN substr(path, {len(ROOT) + 1}) ELSE path END AS p FROM tool_calls WHERE tool IN ('Write', 'Edit', 'NotebookEdit'))
+        WHERE p <> '' AND p NOT IN (SELECT file_path FROM git)""",
+    "fusion_2way": f"WITH {_fusion_sql(False)} SELECT id, round(score + 1e-9, 5) AS score FROM fused",
+    "fusion_3way": f"WITH {_fusion_sql(True)} SELECT id, round(score + 1e-9, 5) AS score FROM fused",
+    "filter_search": f"""WITH {_FACETS}, listed AS (SELECT session_id, file_path FROM files_index), f AS (SELECT session_id, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS files FROM listed GROUP BY 1)
         SELECT session_id, user_email, git_branch, actor_type, captured_at, turn_count, file_count, coalesce(f.files, '') AS files
-        FROM facets LEFT JOIN f USING (session_id) WHERE actor_type = 'human' AND session_id IN (SELECT session_id FROM files_index WHERE regexp_matches(file_path, '{PATH}'))
+        FROM facets LEFT JOIN f USING (session_id) WHERE actor_type = 'human' AND session_id IN (SELECT session_id FROM listed WHERE regexp_matches(file_path, '{PATH}'))
         ORDER BY captured_at DESC NULLS LAST, session_id LIMIT 20""",
     "session_text": f"WITH {_TEXTS} SELECT id AS session_id, sha256(content) AS digest FROM doc",
     "session_totals": f"WITH {_T} SELECT session_id, lower(trim(role)) AS role, count(*) AS n FROM t GROUP BY 1, 2",
-    "turns_page": f"WITH {_T} SELECT id, session_id, turn_index FROM (SELECT *, row_number() OVER ({_PAGE}) AS n FROM t) WHERE n > 2 AND n <= 7",
-    "turns_page_role": f"WITH {_T} SELECT id, session_id, turn_index FROM (SELECT *, row_number() OVER ({_PAGE}) AS n FROM t WHERE role = 'human') WHERE n <= 3",
+    "turns_page": f"WITH {_T} SELECT id, session_id, turn_index, total, total > 7 AS has_more FROM (SELECT *, row_number() OVER ({_PAGE}) AS n, count(*) OVER (PARTITION BY session_id) AS total FROM t) WHERE n > 2 AND n <= 7",
+    "turns_page_role": f"WITH {_T} SELECT id, session_id, turn_index, total, total > 3 AS has_more FROM (SELECT *, row_number() OVER ({_PAGE}) AS n, count(*) OVER (PARTITION BY session_id) AS total FROM t WHERE role = 'human') WHERE n <= 3",
     "checkpoint_log": f"""WITH {_LINK} SELECT c.id, git_sha, git_branch, user_email, ts, count(l.session_id) AS n_sessions
         FROM (SELECT DISTINCT id, git_sha, git_branch, user_email, ts FROM checkpoints) c LEFT JOIN link l ON l.checkpoint_id = c.id GROUP BY ALL ORDER BY ts DESC NULLS LAST, c.id LIMIT 20""",
     "session_facets": f"WITH {_FACETS} SELECT * FROM facets",
@@ -371,3 +495,5 @@ SQL = {
     "import_new": """SELECT session_id, count(*) AS n_turns FROM (SELECT DISTINCT * FROM turns)
         WHERE session_id NOT IN (SELECT id FROM sessions WHERE captured_at < TIMESTAMP '2025-06-01' AND id IS NOT NULL) GROUP BY 1""",
 }
+# The files of an index are those its own table has, with what tool calls add.
+SQL["index_filter_search"] = SQL["filter_search"].replace("(SELECT session_id, file_path FROM files_index)", "(SELECT session_id, file_path FROM (" + SQL["index_files"].replace(f"WITH {_LINK} ", "") + "))")
