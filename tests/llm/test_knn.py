@@ -42,7 +42,9 @@ def test_tiny_graphs(n):
 
 def test_found_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(knn, "CELL", 200)
-    monkeypatch.setattr(knn, "GRAPH", 150)  # cells are dealt to several graphs
+    monkeypatch.setattr(knn, "GRAPH", 150)  # cells are split
+    monkeypatch.setattr(knn, "SAMPLE", 64)  # four coarse cells
+    monkeypatch.setattr(knn, "SLICE", 100)  # graphs are built for shares of their visitors
     x = topics(1500, 24, 6, 2)
     rows = [(f"s{i:04d}", [float(v) for v in e], "m", NOW) for i, e in enumerate(x)]
     bad = [("n1", None, "m", NOW), ("n2", [], "m", NOW), ("n3", [1.0], "m", NOW), ("n4", [0.0] * 24, "m", NOW), ("n5", [float("nan")] * 24, "m", NOW), ("n6", [float("inf")] + [1.0] * 23, "m", NOW), ("n7", [None] + [1.0] * 23, "m", NOW), (None, rows[0][1], "m", NOW), ("s0001", rows[1][1], "other", NOW)]
@@ -80,3 +82,31 @@ def test_a_model_of_copies_has_a_cell(spark, monkeypatch):
     near = {(r.model, r.session_id, r.neighbour) for r in knn.neighbours(spark.createDataFrame(rows, SCHEMA), margin=2.0).collect()}
     assert near == {("o", "x", "y"), ("o", "y", "x")}
     assert (knn.EF, knn.EF_BUILD) >= (16, 20)
+
+
+def test_graphs_and_visits_do_not_grow(spark, monkeypatch):
+    """Whatever the number of vectors, shards stay the same size and a vector goes to as many of them."""
+    monkeypatch.setattr(knn, "CELL", 100)
+    monkeypatch.setattr(knn, "GRAPH", 200)
+    monkeypatch.setattr(knn, "SAMPLE", 160)  # ten coarse cells at most
+    monkeypatch.setattr(knn, "SLICE", 200)
+    monkeypatch.setattr(knn, "VISITS", 3)
+    seen = {}
+    for n in (2000, 8000):
+        rows = [(f"s{i:05d}", v.tolist(), "m", NOW) for i, v in enumerate(topics(n, 16, 12, 3))]
+        vectors, digests = knn.usable(spark.createDataFrame(rows, SCHEMA))
+        cells = knn.fit(vectors, digests)
+        dealt = knn._dealt(vectors, cells, knn.MARGIN).select("shard", "session_id", "part").toPandas()
+        searches = dealt[dealt.part != knn.MEMBER].groupby("session_id").size()
+        assert len(searches) == n and searches.max() <= 1 + knn.VISITS and (dealt.part == knn.SEARCHER).sum() == n
+        seen[n] = (len(cells["m"].fine), dealt.groupby("shard").size().max())
+    assert len(cells["m"].coarse) <= 10 and seen[8000][0] > 2.5 * seen[2000][0] and seen[8000][1] <= 600
+
+
+def test_many_copies_are_a_star(spark, monkeypatch):
+    monkeypatch.setattr(knn, "COPIES", 3)
+    rows = [(f"a{i}", [1.0, 0.0, 0.0], "m", NOW) for i in range(6)] + [(f"b{i}", [0.99, 0.1, 0.0], "m", NOW) for i in range(2)] + [("c", [0.0, 0.0, 1.0], "m", NOW)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r)[1:] for r in knn.found(df).collect()}
+    assert got == {("a0", f"a{i}") for i in range(1, 6)} | {("a0", "b0"), ("a0", "b1"), ("b0", "b1")}
+    assert {(r.session_id, r.rep) for r in knn.copies_of(df).collect()} == {(f"a{i}", "a0") for i in range(6)} | {("b0", "b0"), ("b1", "b0")}

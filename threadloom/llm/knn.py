@@ -1,16 +1,19 @@
 """Most similar vectors for every vector (problem 3): an HNSW graph per shard, results merged.
 
-Shards follow the data: k-means cells, fitted on a bounded sample, put neighbours
-together. Every vector is a member of its nearest cell, whose members form one HNSW
-graph (or several, if a cell is large: members are then dealt by hash), and visits the
-cells that are almost as near, where it only searches. Exact copies are one member.
-The answers of all shards visited are merged per vector. Work grows with the number of
-vectors and the few cells each one visits, not with its square.
+Shards follow the data: k-means cells put neighbours together. Coarse cells are fitted
+on a bounded sample; those that would hold more than a graph should are split by centres
+fitted, in tasks, on a sample of their own vectors, so a graph stays the same size
+however many vectors there are. Every vector is a member of its nearest cell, whose
+members form one HNSW graph, and visits at most VISITS cells that are almost as near,
+where it only searches. A graph with very many visitors is built several times, each for
+a share of them. Exact copies are one member. The answers of all shards visited are
+merged per vector. Work grows with the number of vectors, not with its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,17 @@ from pyspark.sql import functions as F
 from threadloom.durable import materialise
 from threadloom.llm.hnsw import Hnsw
 
-#: Members a cell should have, and the most a graph should have; larger cells are dealt to several graphs.
+#: Members a cell should have, and the most it may be expected to have before it is split.
 CELL, GRAPH = 4096, 8192
-#: The index is fitted on at most SAMPLE vectors per model, and has one cell per SAMPLE_PER_CELL of them at most.
-SAMPLE, SAMPLE_PER_CELL, ROUNDS = 40_000, 16, 10
-#: A vector visits the cells whose centre is at most MARGIN less similar than the nearest centre.
-MARGIN = 0.08
+#: Coarse cells are fitted on at most SAMPLE vectors per model, with one cell per SAMPLE_PER_CELL of them at most; a cell is split
+#: on SAMPLE_PER_PART of its vectors for each part, SPLIT_SAMPLE at most.
+SAMPLE, SAMPLE_PER_CELL, SAMPLE_PER_PART, SPLIT_SAMPLE, ROUNDS = 40_000, 16, 64, 100_000, 10
+#: A vector visits the cells whose centre is at most MARGIN less similar than the nearest centre, the nearest VISITS of them.
+MARGIN, VISITS = 0.08, 24
+#: Visitors a graph should have; the graph of a cell that expects more is built for each such share of them.
+SLICE = 32_768
+#: Copies of one vector up to which all their pairs are given; of more, each is paired with the first one only (see copies_of).
+COPIES = 64
 #: Neighbours and beam of a search, and beam at insertion.
 K, EF, EF_BUILD = 6, 16, 20
 MIN_COSINE = 0.90
@@ -62,9 +70,9 @@ def current(vectors: DataFrame) -> DataFrame:
 
 
 def copies(now: DataFrame) -> DataFrame:
-    """(model, session_id, rep, h1, h2): members of each group of exact copies, by its first session; lone vectors have no row."""
-    groups = now.groupBy("model", "h1", "h2").agg(F.min("session_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return now.join(groups, ["model", "h1", "h2"]).select("model", "session_id", "rep", "h1", "h2")
+    """(model, session_id, rep, h1, h2, n): members of each group of n exact copies, by its first session; lone vectors have no row."""
+    groups = now.groupBy("model", "h1", "h2").agg(F.min("session_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    return now.join(groups, ["model", "h1", "h2"]).select("model", "session_id", "rep", "h1", "h2", "n")
 
 
 def _single(vectors: DataFrame, digests: DataFrame, now: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,8 +105,83 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, digests: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per model the centres of its cells and how many graphs each cell has.
+@dataclass
+class Cells:
+    """The cells of one model: coarse centres, the centres they are split into (themselves, if they are not) and how often each graph is built.
+
+    ``first[c]`` is the first cell of coarse cell c, ``shard[i]`` the first shard of cell i; a row visits *visits* cells at most.
+    """
+
+    coarse: np.ndarray
+    fine: np.ndarray
+    first: np.ndarray
+    slices: np.ndarray
+    visits: int
+
+    @property
+    def shard(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(self.slices)]
+
+    def near(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's own): the cells each row of *x* goes to, its own one first."""
+        sims = x @ self.coarse.T
+        q, c = np.nonzero(sims >= sims.max(1, keepdims=True) - margin)
+        s = sims[q, c]
+        split = self.first[c + 1] - self.first[c] > 1
+        rows, cells, near = [q[~split]], [self.first[c[~split]]], [s[~split]]
+        for k in np.unique(c[split]):
+            at = q[split & (c == k)]
+            part = x[at] @ self.fine[self.first[k] : self.first[k + 1]].T
+            rows.append(np.repeat(at, part.shape[1]))
+            cells.append(np.tile(np.arange(self.first[k], self.first[k + 1]), len(at)))
+            near.append(part.ravel())
+        q, cell, s = np.concatenate(rows), np.concatenate(cells), np.concatenate(near)
+        order = np.lexsort((cell, -s, q))
+        q, cell, s = q[order], cell[order], s[order]
+        own = np.r_[True, q[1:] != q[:-1]]
+        start = np.flatnonzero(own)
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        keep = (s >= np.repeat(s[start], np.diff(np.r_[start, len(q)])) - margin) & (rank <= self.visits)
+        return q[keep], cell[keep], own[keep]
+
+
+def _split(vectors: DataFrame, coarse: dict[str, np.ndarray], parts: dict[str, np.ndarray], counts: dict[str, int]) -> dict[tuple[str, int], np.ndarray]:
+    """The centres of the parts of each cell that has any, fitted in tasks on a sample of its vectors.
+
+    What comes to the driver, and later to each task, is one centre per CELL vectors.
+    """
+    share = {m: min(1.0, SAMPLE_PER_PART / CELL, SPLIT_SAMPLE / (p.max() * CELL)) for m, p in parts.items()}
+    place, chosen = F.pmod(F.xxhash64("session_id", F.lit(2)), F.lit(1 << 20)), F.lit(False)
+    for m, f in share.items():
+        chosen = chosen | ((F.col("model") == m) & (place < int((1 << 20) * f) + 1))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            models = b.column("model").to_numpy(zero_copy_only=False)
+            for model in set(models):
+                at = np.flatnonzero(models == model)
+                x = _unit(_matrix(b.column("vec").take(pa.array(at)))).astype(np.float32)
+                cell = (x @ coarse[model].T).argmax(1)
+                ok = parts[model][cell] > 1
+                yield pa.RecordBatch.from_arrays([pa.array([model] * int(ok.sum()), pa.string()), pa.array(cell[ok].astype(np.int32)), _lists(x[ok])], names=["model", "cell", "vec"])
+
+    def centres(table: pa.Table) -> pa.Table:
+        model, cell = table["model"][0].as_py(), table["cell"][0].as_py()
+        x = _matrix(table["vec"])
+        c, _ = _kmeans(x[np.lexsort(x.T[::-1])], int(parts[model][cell]))
+        return pa.table({"model": pa.array([model] * len(c), pa.string()), "cell": pa.array([cell] * len(c), pa.int32()), "vec": _lists(c)})
+
+    schema = "model string, cell int, vec array<float>"
+    found = vectors.where(chosen).select("model", "vec").mapInArrow(assign, schema).groupBy("model", "cell").applyInArrow(centres, schema).toArrow()
+    out, models, cell = {}, found["model"].to_numpy(), found["cell"].to_numpy()
+    for m in parts:
+        for c in np.unique(cell[models == m]):
+            out[m, int(c)] = _matrix(found["vec"].filter(pa.array((models == m) & (cell == c)))).astype(np.float32)
+    return out
+
+
+def fit(vectors: DataFrame, digests: DataFrame, margin: float = MARGIN) -> dict[str, Cells]:
+    """The cells of each model.
 
     The sample of a model are the vectors whose session hashes below a threshold that
     leaves at most SAMPLE of them, 256 per cell; one pass takes those of all models.
@@ -111,20 +194,31 @@ def fit(vectors: DataFrame, digests: DataFrame) -> dict[str, tuple[np.ndarray, n
     for m, n in counts.items():
         chosen = chosen | ((F.col("model") == m) & (place < int((1 << 20) * min(1.0, wanted[m] / n)) + 1))
     sample = vectors.where(chosen).limit(2 * sum(wanted.values())).select("model", "session_id", "vec").toArrow().sort_by([("model", "ascending"), ("session_id", "ascending")])
-    models, out = sample["model"].to_numpy(), {}
+    models, samples, coarse, parts = sample["model"].to_numpy(), {}, {}, {}
     for m, n in counts.items():
         mine = sample.filter(pa.array(models == m))
         if not len(mine):
             mine = vectors.where(F.col("model") == m).orderBy("session_id").limit(1).select("model", "session_id", "vec").toArrow()
-        rows = mine["vec"].combine_chunks()
-        if len(rows):
-            x = _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)).astype(np.float32)
-            centres, share = _kmeans(x, min(-(-n // CELL), max(1, len(x) // SAMPLE_PER_CELL)))
-            out[m] = (centres, np.maximum(1, np.ceil(share * n / GRAPH)).astype(np.int64))
+        if len(mine):
+            x = samples[m] = _unit(_matrix(mine["vec"])).astype(np.float32)
+            coarse[m], share = _kmeans(x, min(-(-n // CELL), max(1, len(x) // SAMPLE_PER_CELL)))
+            parts[m] = np.where(share * n > GRAPH, np.ceil(share * n / CELL), 1).astype(np.int64)
+    split = _split(vectors, coarse, parts, counts) if any((p > 1).any() for p in parts.values()) else {}
+    out = {}
+    for m, c in coarse.items():
+        fine = [split.get((m, k), c[k : k + 1]) for k in range(len(c))]
+        first = np.r_[0, np.cumsum([len(f) for f in fine])]
+        cells = Cells(c, np.concatenate(fine), first, np.ones(first[-1], dtype=np.int64), VISITS)
+        _, cell, own = cells.near(samples[m], margin)
+        visitors = np.bincount(cell[~own], minlength=len(cells.fine)) * (counts[m] / len(samples[m]))
+        cells.slices = np.maximum(1, np.ceil(visitors / SLICE)).astype(np.int64)
+        out[m] = cells
     return out
 
 
-_SENT = pa.schema([("model", pa.string()), ("shard", pa.int32()), ("session_id", pa.string()), ("member", pa.bool_()), ("vec", pa.list_(pa.float32()))])
+#: What a row is in its shard: it only searches, it is only a member, or it is a member that searches.
+VISITOR, MEMBER, SEARCHER = 0, 1, 2
+_SENT = pa.schema([("model", pa.string()), ("shard", pa.int32()), ("session_id", pa.string()), ("part", pa.int8()), ("vec", pa.list_(pa.float32()))])
 _ANSWER = "model string, session_id string, neighbour string, cosine double"
 
 
@@ -133,8 +227,14 @@ def _matrix(col: pa.ChunkedArray | pa.ListArray) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def _dealt(vectors: DataFrame, cells: dict, margin: float) -> DataFrame:
-    """Each vector to the graph it is a member of and to those it visits."""
+def _lists(x: np.ndarray) -> pa.ListArray:
+    flat = np.ascontiguousarray(x, dtype=np.float32).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, max(1, x.shape[1]), dtype=np.int32)[: len(x) + 1]), pa.array(flat))
+
+
+def _dealt(vectors: DataFrame, cells: dict[str, Cells], margin: float) -> DataFrame:
+    """Each vector to the shards of the cell it is a member of and of those it visits."""
+    sent = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,33 +243,22 @@ def _dealt(vectors: DataFrame, cells: dict, margin: float) -> DataFrame:
             for model in set(models):
                 at = np.flatnonzero(models == model)
                 x = _unit(_matrix(vecs.take(pa.array(at)))).astype(np.float32)
-                centres, n_graphs = cells[model]
-                sims = x @ centres.T
-                home = sims.argmax(1)
-                base = np.r_[0, np.cumsum(n_graphs)]
-                mine = base[home] + hashes[at] % n_graphs[home]
-                q, cell = np.nonzero(sims >= sims.max(1, keepdims=True) - margin)
-                # A visit to a cell is one to each of its graphs, but for the row's own.
-                q, shard = np.repeat(q, n_graphs[cell]), np.concatenate([np.arange(base[c], base[c + 1]) for c in cell]) if len(cell) else cell
-                other = shard != mine[q]
-                rows = np.r_[np.arange(len(at)), q[other]]
-                where = np.r_[mine, shard[other]]
-                member = np.r_[np.ones(len(at), bool), np.zeros(int(other.sum()), bool)]
-                flat = x[rows].ravel()
-                offsets = np.arange(0, len(flat) + 1, x.shape[1], dtype=np.int32)
+                known = sent.value[model]
+                q, cell, own = known.near(x, margin)
+                # A row searches one shard of each cell, and stands in all shards of its own.
+                mine = known.shard[cell] + hashes[at[q]] % known.slices[cell]
+                many = np.flatnonzero(own & (known.slices[cell] > 1))
+                extra = [(np.full(n - 1, i), np.delete(np.arange(known.shard[c], known.shard[c + 1]), mine[i] - known.shard[c])) for i, c, n in zip(many, cell[many], known.slices[cell[many]])]
+                rows = np.concatenate([q, *[q[i] for i, _ in extra]])
+                where = np.concatenate([mine, *[s for _, s in extra]])
+                part = np.concatenate([np.where(own, SEARCHER, VISITOR), *[np.full(len(s), MEMBER) for _, s in extra]])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([model] * len(rows), pa.string()),
-                        pa.array(where.astype(np.int32)),
-                        ids.take(pa.array(at[rows])).cast(pa.string()),
-                        pa.array(member),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    ],
+                    [pa.array([model] * len(rows), pa.string()), pa.array(where.astype(np.int32)), ids.take(pa.array(at[rows])).cast(pa.string()), pa.array(part.astype(np.int8)), _lists(x[rows])],
                     schema=_SENT,
                 )
 
     keyed = vectors.select("model", "session_id", F.pmod(F.xxhash64("session_id"), F.lit(1 << 30)).alias("h"), "vec")
-    return keyed.mapInArrow(run, "model string, shard int, session_id string, member boolean, vec array<float>")
+    return keyed.mapInArrow(run, "model string, shard int, session_id string, part tinyint, vec array<float>")
 
 
 def _levels(n: int) -> np.ndarray:
@@ -179,18 +268,19 @@ def _levels(n: int) -> np.ndarray:
 
 def _answers(k: int, ef: int, ef_build: int, least: float):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("member", "descending"), ("session_id", "ascending")])
+        table = table.sort_by([("part", "descending"), ("session_id", "ascending")])
         ids = table["session_id"].to_numpy()
         once = np.r_[True, ids[1:] != ids[:-1]]  # repeated rows come to the same graphs
         if not once.all():
             table, ids = table.filter(pa.array(once)), ids[once]
-        n = int(np.count_nonzero(table["member"].to_numpy()))
+        part = table["part"].to_numpy()
+        n, n_search = int(np.count_nonzero(part != VISITOR)), int(np.count_nonzero(part == SEARCHER))
         x = _matrix(table["vec"])
         found_q, found_n, found_s = [], [], []
         if n:
             graph = Hnsw(x[:n], _levels(n), ef_build)
             for rows, (sims, near) in (
-                (np.arange(n), graph.search_members(np.arange(n), k + 1, ef)),
+                (np.arange(n_search), graph.search_members(np.arange(n_search), k + 1, ef)),
                 (np.arange(n, len(x)), graph.search(x[n:], k, ef)),
             ):
                 ok = (near >= 0) & (near != rows[:, None]) & (sims >= least - 1e-4)
@@ -214,11 +304,11 @@ def _answers(k: int, ef: int, ef_build: int, least: float):
 
 def _nearest(vectors: DataFrame, digests: DataFrame, same: DataFrame, k: int, ef: int, ef_build: int, margin: float, least: float) -> DataFrame:
     single, of_single = _single(vectors, digests, current(digests), same)
-    cells = fit(single, of_single)
+    cells = fit(single, of_single, margin)
     if not cells:
         return single.select("model", "session_id", F.col("session_id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    n_graphs = int(sum(g.sum() for _, g in cells.values()))
-    dealt = _dealt(single, cells, margin).repartition(max(n_graphs, 8), "model", "shard")
+    n_shards = int(sum(c.slices.sum() for c in cells.values()))
+    dealt = _dealt(single, cells, margin).repartition(min(max(n_shards, 8), 100_000), "model", "shard")
     answers = dealt.groupBy("model", "shard").applyInArrow(_answers(k, ef, ef_build, least), _ANSWER)
     w = Window.partitionBy("model", "session_id").orderBy(F.desc("cosine"), "neighbour")
     # A neighbour is a member of one graph, which a vector visits once, so no answer comes twice.
@@ -242,13 +332,20 @@ def copies_of(embeddings: DataFrame) -> DataFrame:
 
 
 def found(embeddings: DataFrame, least: float = MIN_COSINE) -> DataFrame:
-    """(model, session_a, session_b): pairs of sessions with a cosine of at least *least*, session_a < session_b."""
+    """(model, session_a, session_b): pairs of sessions with a cosine of at least *least*, session_a < session_b.
+
+    Copies of one vector have its pairs, and each other, if they are COPIES at most. Of
+    more copies the first one has all pairs and each other one is paired with it alone:
+    no link between different vectors is lost, and nothing grows with the square of a group.
+    """
     vectors, digests = usable(embeddings)
     same = materialise(copies(current(digests)), "copies")
     near = _nearest(vectors, digests, same, K, EF, EF_BUILD, MARGIN, least).select("model", F.col("session_id").alias("x"), F.col("neighbour").alias("y"))
-    a = same.select("model", F.col("rep").alias("x"), F.col("session_id").alias("xs"))
-    b = same.select("model", F.col("rep").alias("y"), F.col("session_id").alias("ys"))
+    few = same.where(F.col("n") <= COPIES)
+    a = few.select("model", F.col("rep").alias("x"), F.col("session_id").alias("xs"))
+    b = few.select("model", F.col("rep").alias("y"), F.col("session_id").alias("ys"))
     spread = near.join(a, ["model", "x"], "left").join(b, ["model", "y"], "left").select("model", F.coalesce("xs", "x").alias("x"), F.coalesce("ys", "y").alias("y"))
     inside = a.join(b, (a["model"] == b["model"]) & (a["x"] == b["y"]) & (a["xs"] < b["ys"])).select(a["model"], F.col("xs").alias("x"), F.col("ys").alias("y"))
-    pairs = spread.unionByName(inside)
+    star = same.where((F.col("n") > COPIES) & (F.col("session_id") != F.col("rep"))).select("model", F.col("rep").alias("x"), F.col("session_id").alias("y"))
+    pairs = spread.unionByName(inside).unionByName(star)
     return pairs.select("model", F.least("x", "y").alias("session_a"), F.greatest("x", "y").alias("session_b")).where("session_a < session_b").distinct()
