@@ -42,7 +42,26 @@ tree AS (
   SELECT n.id, t.root_id, t.depth + 1, t.path || '/' || n.id FROM node n JOIN tree t ON n.parent = t.id)
 """
 
+# Each step opens the values of the last one: those of an object by key, those of an array by place. A message or
+# input given as JSON text is decoded, a lone object as content is an array of one. 'own' is the element a value stands in.
+_NODES = r"""
+WITH RECURSIVE line AS (SELECT line_id, CASE WHEN json_valid(raw_line) THEN CASE WHEN json_type(raw_line) = 'OBJECT' THEN json_extract(raw_line, '$.message') END END AS m FROM transcript_lines WHERE line_id IS NOT NULL),
+node AS (
+  SELECT line_id, '' AS path, '' AS own, false AS element, CASE WHEN json_type(m) = 'VARCHAR' AND json_valid(m ->> '$') AND regexp_matches(m ->> '$', '^\s*[\[{]') THEN TRY_CAST(m ->> '$' AS JSON) ELSE m END AS v FROM line WHERE m IS NOT NULL
+  UNION ALL
+  SELECT line_id, path, own, element, CASE WHEN decoded AND key = 'content' AND json_type(w) = 'OBJECT' THEN json_array(w) ELSE w END AS v FROM (
+    SELECT line_id, key, key IS NOT NULL AS decoded, CASE WHEN key IS NULL THEN path || '[' || place || ']' WHEN path = '' THEN key ELSE path || '.' || key END AS path,
+      CASE WHEN was THEN path ELSE own END AS own, key IS NULL AND json_type(x) = 'OBJECT' AS element,
+      CASE WHEN key IN ('input', 'message') AND json_type(x) = 'VARCHAR' AND json_valid(x ->> '$') AND regexp_matches(x ->> '$', '^\s*[\[{]') THEN TRY_CAST(x ->> '$' AS JSON) ELSE x END AS w
+    FROM (
+      SELECT line_id, path, own, element AS was, NULL AS key, place, json_extract(v, '$[' || place || ']') AS x FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT)) AS place FROM node WHERE json_type(v) = 'ARRAY')
+      UNION ALL
+      SELECT line_id, path, own, element, key, NULL, json_extract(v, '$."' || key || '"') FROM (SELECT *, unnest(json_keys(v)) AS key FROM node WHERE json_type(v) = 'OBJECT')))
+  WHERE json_type(w) IN ('OBJECT', 'ARRAY'))
+"""
+
 SQL = {
+    "p1_found": _NODES + "SELECT DISTINCT line_id, own AS parent_path, path AS node_path FROM node WHERE element",
     "p6_found": _TREE
     + """SELECT n.id AS session_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1) AS depth
          FROM node n LEFT JOIN tree t ON n.id = t.id WHERE n.has_link""",
