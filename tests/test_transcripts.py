@@ -171,3 +171,16 @@ def test_stream_appends_once(spark, tmp_path):
         cs.capture_stream(store, cs.line_stream(spark, str(tmp_path / "in" / "*")), str(tmp_path / ck)).awaitTermination()
     assert store.table("turns").count() == 2
     assert {(r.role, r.n_turns) for r in cs.activity(store.table("turns")).collect()} == {("human", 1), ("assistant", 1)}
+
+
+def test_a_file_in_two_batches_goes_on_where_it_stopped(spark, tmp_path):
+    from threadloom.streaming import capture_stream as cs
+
+    store = Store(spark, str(tmp_path / "truth"))
+    says = [user("one"), assistant(said("two")), user("three"), assistant(said("four"))]
+    for part in (0, 1):
+        lines = [("f.jsonl", i, json.dumps(r)) for i, r in enumerate(says) if i // 2 == part]
+        spark.createDataFrame(lines, cs.LINES).write.parquet(str(tmp_path / "in" / f"b{part}"))
+        cs.capture_stream(store, cs.line_stream(spark, str(tmp_path / "in" / "*")), str(tmp_path / "ck")).awaitTermination()
+    got = [(r.turn_index, r.content) for r in store.table("turns").orderBy("turn_index").collect()]
+    assert got == [(0, "one"), (1, "two"), (2, "three"), (3, "four")]

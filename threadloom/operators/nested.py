@@ -294,5 +294,5 @@ def typed(nodes: DataFrame, variant: str) -> DataFrame:
 
 
 def found(lines: DataFrame) -> DataFrame:
-    """(line_id, parent_path, node_path), distinct."""
-    return shred(lines).select("line_id", "parent_path", "node_path")
+    """(line_id, parent_path, node_path), distinct: a row delivered twice counts once."""
+    return shred(lines).select("line_id", "parent_path", "node_path").distinct()

@@ -9,8 +9,9 @@ TRUTH = {
     "checkpoint_sessions": "checkpoint_id string, session_id string",
     "checkpoint_state": "file_path string, byte_size bigint, file_hash string, version bigint",
     "exported": "checkpoint_id string, batch string",
+    "stream_lines": "file_name string, line_no int, raw_line string",
 }
-KEYS = {"sessions": ["id"], "turns": ["id"], "tool_calls": ["id"], "checkpoints": ["id"], "files_touched": ["id"], "checkpoint_sessions": ["checkpoint_id", "session_id"]}
+KEYS = {"sessions": ["id"], "turns": ["id"], "tool_calls": ["id"], "checkpoints": ["id"], "files_touched": ["id"], "checkpoint_sessions": ["checkpoint_id", "session_id"], "stream_lines": ["file_name", "line_no"]}
 INDEX = {
     "turns_ft": "id string, session_id string, turn_index int, role string, content string, ts timestamp_ntz",
     "tool_calls_index": "id string, session_id string, call_order int, tool string, path string, cmd_prefix string",

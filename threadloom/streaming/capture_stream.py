@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threadloom import durable
 from threadloom.plans.store import Store
 from threadloom.sources import transcripts
 
@@ -20,15 +21,21 @@ def line_stream(spark: SparkSession, folder: str) -> DataFrame:
 def capture_stream(store: Store, lines: DataFrame, checkpoint: str) -> StreamingQuery:
     """Append the turns of each micro-batch to the store, then stop when all that is there is done.
 
-    A batch holds whole files; ids come from content, so a batch that is run again after
-    a failure appends nothing twice.
+    Files grow at their end and may come in any number of batches: lines are kept, and
+    the files a batch touches are parsed as far as they have come, so places go on where
+    they stopped. Ids come from content, so a batch that is run again after a failure
+    appends nothing twice.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        recs = transcripts.records(batch)
-        sid = F.sha2(F.concat_ws("|", F.lit("stream"), "file_name"), 256)
-        t = transcripts.turns(recs).withColumn("session_id", sid)
-        store.append("turns", t.select(F.sha2(F.concat_ws("|", "session_id", "turn_index", "content"), 256).alias("id"), "session_id", "turn_index", "role", "content", "ts"))
+        with durable.scope(store.spark):
+            new = durable.materialise(batch.select("file_name", "line_no", "raw_line"), "batch")
+            store.append("stream_lines", new)
+            whole = store.table("stream_lines").join(new.select("file_name").distinct(), "file_name", "left_semi")
+            recs = transcripts.records(whole)
+            sid = F.sha2(F.concat_ws("|", F.lit("stream"), "file_name"), 256)
+            t = transcripts.turns(recs).withColumn("session_id", sid)
+            store.append("turns", t.select(F.sha2(F.concat_ws("|", "session_id", "turn_index", "content"), 256).alias("id"), "session_id", "turn_index", "role", "content", "ts"))
 
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
