@@ -123,6 +123,6 @@ def pack(documents: DataFrame, limits: DataFrame, tokenizer_dir: str = DEFAULT_D
 def fill(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """Per limit: containers used, the least that could do, and the share of room left."""
     per = packed.where("container_id is not null").groupBy("limit_id").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    got = per.join(F.broadcast(limits.select("limit_id", "label", "max_tokens").distinct()), "limit_id")
+    got = per.join(limits.select("limit_id", "label", "max_tokens").distinct(), "limit_id")
     least = F.ceil(F.col("n_tokens") / F.col("max_tokens"))
     return got.select("limit_id", "label", "n_containers", least.alias("n_least"), "n_tokens", (1 - F.col("n_tokens") / (F.col("n_containers") * F.col("max_tokens"))).alias("room_left"))
