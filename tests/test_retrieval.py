@@ -128,3 +128,14 @@ def test_embedder_hashes_turns_and_queries_alike(spark):
     assert set(got) == {"a", "b"} and got["a"] == pytest.approx(e.query("login token again login"), abs=1e-6)
     assert dense_scores(vectors, e, "login token").orderBy(F.desc("score")).head().id == "a"
     assert e.query("") == [0.0] * 64 and dense_scores(vectors, e, "").count() == 0
+
+
+def test_krylov_factors_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(lsa, "BLOCK", 12)
+    rng = np.random.default_rng(5)
+    b = (rng.random((150, 90)) < 0.1) * rng.random((150, 90)) + np.outer(rng.random(150), rng.random(90)) * 0.2
+    rows = [([int(j) for j in np.flatnonzero(r)], [float(x) for x in r[np.flatnonzero(r)]]) for r in b]
+    values, v = lsa._right_factors(spark.createDataFrame(rows, "idx array<int>, w array<double>"), 90, 15)
+    want = np.linalg.svd(b)[1][:15]
+    assert values == pytest.approx(want, rel=2e-3) and np.allclose(v.T @ v, np.eye(15), atol=1e-8)
+    assert np.linalg.norm(b @ v, axis=0) == pytest.approx(values, rel=1e-6)

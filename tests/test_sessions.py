@@ -138,6 +138,12 @@ def test_upsert_and_dedup(spark):
     assert sorted(r.id for r in ops.dedup_by_hash(d, "id", "text").collect()) == [1, 2]
 
 
+def test_patch(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", None, 2), ("c", "z", 3)], "k string, s string, v int")
+    new = spark.createDataFrame([("a", "new"), ("b", "b1"), ("b", "b2"), ("c", None), ("d", "q")], "k string, s string")
+    assert {tuple(r) for r in ops.patch(old, new, "k").collect()} == {("a", "new", 1), ("b", "b2", 2), ("c", "z", 3)}
+
+
 def test_sql_guard(spark):
     spark.range(3).createOrReplaceTempView("numbers")
     assert sqlmode.run_sql(spark, "  select id from numbers").count() == 3

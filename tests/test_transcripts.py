@@ -116,6 +116,11 @@ def test_export_import_round_trip(spark, captured):
     for name in ("sessions", "turns", "tool_calls", "checkpoints", "files_touched", "checkpoint_sessions"):
         assert {tuple(r) for r in other.table(name).collect()} == {tuple(r) for r in store.table(name).collect()}
     assert transport.import_batches(other, out) == 0 and other.unexported().count() == 0
+    meta = spark.read.parquet(f"{out}/meta").collect()
+    assert [(r.batch, r.n_sessions, r.n_turns) for r in meta] == [("b1", store.table("sessions").count(), store.table("turns").count())]
+    third = Store(spark, str(root / "third"))
+    assert transport.sync_self(third, out, str(root / "third-index")) == store.table("sessions").count()
+    assert index.read_state(spark, str(root / "third-index"))["turn_count"] == str(store.table("turns").count())
     own = {n: store.table(n) for n in transport.PARTS}
     merged = transport.merge_team(own, [transport.read_export(spark, out)])
     assert {n: d.count() for n, d in merged.items()} == {n: d.count() for n, d in own.items()}

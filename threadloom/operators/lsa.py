@@ -1,4 +1,4 @@
-"""Latent semantic analysis: TF-IDF rows, truncated SVD by distributed subspace iteration, fold-in of queries."""
+"""Latent semantic analysis: TF-IDF rows, truncated SVD by distributed block Krylov iteration, fold-in of queries."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ from threadloom.tables import with_row
 
 #: The rank, at most.
 RANK = 128
-#: Terms of the model, at most: those in the most documents. The driver and each task hold so many rows of width numbers
-#: (some 300 MB), whatever the number of documents; TF-IDF and BM25 keep all terms.
+#: Terms of the model, at most: those in the most documents. The driver holds so many rows of the basis (some 300 numbers),
+#: each task rows of a block or of the rank (some 200 MB), whatever the number of documents; TF-IDF and BM25 keep all terms.
 VOCABULARY = 200_000
-#: Columns beyond the rank, passes at most, and the change (relative to the largest value) that ends the iteration.
-OVERSAMPLE, PASSES, TOLERANCE = 16, 15, 1e-4
+#: Columns of a block, blocks at most, and the change (relative to the largest value) that ends the iteration.
+BLOCK, PASSES, TOLERANCE = 48, 12, 1e-4
 
 
 @dataclass
@@ -79,27 +79,35 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 
 
 def _right_factors(rows: DataFrame, n_terms: int, k: int) -> tuple[list[float], np.ndarray]:
-    """Singular values and right factors (n_terms, k) of the sparse rows, by subspace iteration.
+    """Singular values and right factors (n_terms, k) of the sparse rows, by block Krylov iteration.
 
-    A few passes over the rows, each a sum of n_terms x width numbers; the iteration ends
-    when the leading values stand still. What comes to the driver is bounded by the
-    vocabulary times the width, whatever the number of documents.
+    Each pass over the rows multiplies one block and adds it, made orthogonal to those
+    before, to the basis; the values are those of the matrix within the basis. The
+    iteration ends when the k leading ones stand still. What comes to the driver is
+    bounded by the vocabulary times the basis, whatever the number of documents.
     """
-    width = min(n_terms, k + max(OVERSAMPLE, k // 2))
-    q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((n_terms, width)))
-    last = None
-    for _ in range(PASSES):
+    q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((n_terms, min(n_terms, BLOCK))))
+    basis, images, last = q, np.empty((n_terms, 0)), None
+    while True:
         z = _gram_times(rows, q)
-        values, u = np.linalg.eigh(q.T @ z)
+        images = np.concatenate([images, z], axis=1)
+        inner = basis.T @ images
+        values, u = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(-values)[:k]
         top = np.sqrt(np.maximum(values[order], 0))
-        v = q @ u[:, order]
-        if width == n_terms or (last is not None and np.all(np.abs(top - last) <= TOLERANCE * top[0])):
+        still = last is not None and len(last) == len(top) and np.all(np.abs(top - last) <= TOLERANCE * top[0])
+        if still or basis.shape[1] >= min(n_terms, PASSES * BLOCK):
             break
         last = top
-        q, _ = np.linalg.qr(z)
+        for _ in range(2):
+            z = z - basis @ (basis.T @ z)
+        q, r = np.linalg.qr(z)
+        q = q[:, np.abs(np.diag(r)) > 1e-9 * top[0] ** 2][:, : n_terms - basis.shape[1]]
+        if not q.shape[1]:
+            break
+        basis = np.concatenate([basis, q], axis=1)
     keep = top > 1e-7 * top[0]
-    return [float(x) for x in top[keep]], v[:, keep]
+    return [float(x) for x in top[keep]], (basis @ u[:, order])[:, keep]
 
 
 def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK, most_terms: int = VOCABULARY) -> LsaModel | None:
@@ -107,7 +115,7 @@ def fit_lsa(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK, most_
 
     Rows of the matrix are documents, columns the vocabulary (terms in two documents or
     more, the *most_terms* most frequent ones of them), so what comes back to the driver
-    is bounded by vocabulary times width, not by the documents.
+    is bounded by vocabulary times basis, not by the documents.
     """
     weights = materialise(tfidf(docs, id_col, text_col), "weights")
     counts = weights.groupBy("term").agg(F.count("*").alias("df"))

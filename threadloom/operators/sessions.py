@@ -214,6 +214,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def patch(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows of *old* with every column that *new* has and does not leave null replaced by it; keys only *new* has add no row.
+
+    Of several new rows of a key the largest value of each column counts.
+    """
+    cols = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(*[F.max(c).alias(f"_new_{c}") for c in cols])
+    return old.join(one, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in old.columns])
+
+
 def dedup_by_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The first row, by id, of each distinct content hash: (content_hash, id)."""
     return docs.where(F.col(text_col).isNotNull()).groupBy(F.sha2(F.col(text_col), 256).alias("content_hash")).agg(F.min(id_col).alias(id_col))

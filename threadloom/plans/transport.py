@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.durable import materialise
+from threadloom.plans.index import build_index
 from threadloom.plans.store import Store
 from threadloom.schemas import TRUTH
+from threadloom.tables import with_row
 
+#: The version of the layout of a batch.
+FORMAT = 1
 PARTS = ["sessions", "turns", "tool_calls", "checkpoints", "files_touched", "checkpoint_sessions"]
 
 
@@ -19,6 +23,15 @@ def delta(checkpoints: DataFrame, links: DataFrame, sessions: DataFrame) -> tupl
     return mine.join(held.select(F.col("id").alias("session_id")), "session_id", "left_semi"), held
 
 
+def counters(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many rows of each table a batch holds."""
+    counted = [df.agg(F.count("*").alias(f"n_{name}")) for name, df in parts.items()]
+    out = counted[0]
+    for c in counted[1:]:
+        out = with_row(out, c)
+    return out
+
+
 def export_delta(store: Store, out: str, batch: str) -> int:
     """Write the unexported checkpoints with all that hangs on them as one batch below *out*; how many they were.
 
@@ -39,6 +52,7 @@ def export_delta(store: Store, out: str, batch: str) -> int:
         "files_touched": store.table("files_touched").join(cps.select(F.col("id").alias("checkpoint_id")), "checkpoint_id", "left_semi"),
         "checkpoint_sessions": links,
     }
+    counters(parts).withColumn("version", F.lit(FORMAT)).coalesce(1).write.mode("overwrite").parquet(f"{out}/meta/batch={batch}")
     for name, rows in parts.items():
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch={batch}")
     store.append("exported", cps.select(F.col("id").alias("checkpoint_id"), F.lit(batch).alias("batch")))
@@ -67,6 +81,13 @@ def import_batches(store: Store, src: str) -> int:
     return store.table("sessions").count() - before
 
 
+def sync_self(store: Store, src: str, index_root: str, root: str = "") -> int:
+    """Take one's own exports back into the truth tables, then rebuild the index; the number of new sessions."""
+    n = import_batches(store, src)
+    build_index(store, index_root, root)
+    return n
+
+
 def merge_team(own: dict[str, DataFrame], others: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
     """The tables of all members for an index; a row whose key an earlier member has is left out."""
     from threadloom.schemas import KEYS

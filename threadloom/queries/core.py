@@ -185,6 +185,20 @@ def export_held(s: SparkSession, d: str) -> DataFrame:
     return links.groupBy("checkpoint_id").agg(F.count("*").alias("n_sessions"))
 
 
+def export_counters(s: SparkSession, d: str) -> DataFrame:
+    """How many rows a batch of the unexported checkpoints holds."""
+    cps = checkpoints(s, d).where("not exported").select("id").distinct()
+    links, held = transport.delta(cps, ops.links(files(s, d)), sessions(s, d).select("id").distinct())
+    mine = placed(s, d).join(held.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    return transport.counters({"checkpoints": cps, "sessions": held, "checkpoint_sessions": links, "turns": mine.select("id").distinct()})
+
+
+def facet_patch(s: SparkSession, d: str) -> DataFrame:
+    """Facets with the branch and author that the sessions table states in their place."""
+    stated = sessions(s, d).select(F.col("id").alias("session_id"), F.col("branch").alias("git_branch"), F.upper("user_email").alias("user_email"))
+    return ops.patch(facets(s, d), stated, "session_id").select("session_id", "git_branch", "user_email", "turn_count")
+
+
 def import_new(s: SparkSession, d: str) -> DataFrame:
     """Turns of sessions that a store of the sessions before June lacks: the anti join of an import."""
     have = sessions(s, d).where("captured_at < timestamp_ntz'2025-06-01 00:00:00'").select(F.col("id").alias("session_id"))
@@ -270,6 +284,8 @@ QUERIES = {
     "sanitise_paths": lambda s, d: calls(s, d).where("path <> ''").select(sanitise_path(F.col("path")).alias("name")).distinct(),
     "name_status": name_status,
     "export_delta": export_held,
+    "export_counters": export_counters,
+    "facet_patch": facet_patch,
     "import_new": import_new,
     "parse_transcript_turns": parsed_turns,
     "parse_transcript_times": lambda s, d: transcripts.turns(transcripts.records(load(s, d, "transcript_lines"))).select("file_name", "turn_index", iso_utc(F.col("ts")).alias("stamp")),
@@ -492,6 +508,11 @@ SQL = {
     "name_status": "SELECT change_type, count(*) AS n, count(DISTINCT file_path) AS n_paths FROM (SELECT DISTINCT * FROM files_index) WHERE file_path IS NOT NULL AND change_type IS NOT NULL GROUP BY 1",
     "export_delta": f"""WITH {_LINK} SELECT checkpoint_id, count(*) AS n_sessions FROM link WHERE checkpoint_id IN (SELECT id FROM checkpoints WHERE NOT exported)
         AND session_id IN (SELECT id FROM sessions) GROUP BY 1""",
+    "export_counters": f"""WITH {_LINK}, cp AS (SELECT DISTINCT id FROM checkpoints WHERE NOT exported), l AS (SELECT * FROM link WHERE checkpoint_id IN (FROM cp) AND session_id IN (SELECT id FROM sessions))
+        SELECT (SELECT count(*) FROM cp) AS n_checkpoints, (SELECT count(DISTINCT session_id) FROM l) AS n_sessions, (SELECT count(*) FROM l) AS n_checkpoint_sessions,
+          (SELECT count(DISTINCT id) FROM turns WHERE session_id IN (SELECT session_id FROM l)) AS n_turns""",
+    "facet_patch": f"""WITH {_FACETS}, stated AS (SELECT id AS session_id, max(branch) AS branch, max(upper(user_email)) AS email FROM sessions GROUP BY 1)
+        SELECT f.session_id, coalesce(branch, git_branch) AS git_branch, coalesce(email, user_email) AS user_email, turn_count FROM facets f LEFT JOIN stated USING (session_id)""",
     "import_new": """SELECT session_id, count(*) AS n_turns FROM (SELECT DISTINCT * FROM turns)
         WHERE session_id NOT IN (SELECT id FROM sessions WHERE captured_at < TIMESTAMP '2025-06-01' AND id IS NOT NULL) GROUP BY 1""",
 }
