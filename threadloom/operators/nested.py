@@ -210,7 +210,7 @@ def messages(lines: DataFrame) -> DataFrame:
 
 def shapes(nodes: DataFrame) -> DataFrame:
     """The variants met: how many rows and automaton states each has, and all its fields."""
-    counts = nodes.groupBy("variant").agg(F.count("*").alias("n_rows"), F.approx_count_distinct("shape").alias("n_shapes"), F.max("depth").alias("max_depth"))
+    counts = nodes.groupBy("variant").agg(F.count("*").alias("n_rows"), F.count_distinct("shape").alias("n_shapes"), F.max("depth").alias("max_depth"))
     fields = (
         nodes.select("variant", F.explode(F.map_keys("attrs")).alias("field"))
         .groupBy("variant", F.regexp_replace("field", r"\[\d+\]", "[]").alias("field"))
