@@ -77,6 +77,9 @@ def test_hierarchy_paths(spark):
     assert all(got[x] == ("", -1, None, 0) for x in "XYZS")
     paths = hierarchy.resolve(hierarchy.parent_pointers(df), with_path=True)
     assert {tuple(r) for r in hierarchy.descendants(paths).collect()} == {("A", "B", 1), ("A", "C", 2), ("A", "D", 2), ("B", "C", 1), ("B", "D", 1)}
+    at = {r.session_id: (r.first, r.last) for r in hierarchy.intervals(df).collect()}
+    below = {(x, y) for x in at for y in at if at[x][0] < at[y][0] <= at[x][1]}
+    assert below == {("A", "B"), ("A", "C"), ("A", "D"), ("B", "C"), ("B", "D")} and not at.keys() & set("XYZS")
 
 
 def test_hierarchy_empty_and_long_chain(spark):

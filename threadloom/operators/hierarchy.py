@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.durable import materialise
+from threadloom.functions.codes import dense_index
 
 SPLIT_EVERY = 8
 
@@ -127,6 +128,18 @@ def hierarchy(sessions: DataFrame) -> DataFrame:
     )
 
 
+def intervals(sessions: DataFrame) -> DataFrame:
+    """(session_id, root_id, first, last): places in the order of the paths, so all descendants of a node follow it, up to *last*.
+
+    One row per node says of any two nodes whether one stands below the other:
+    first < other.first <= last. Nodes on a cycle or leading into one have no row.
+    """
+    paths = materialise(resolve(parent_pointers(sessions), with_path=True).where("path is not null"), "paths")
+    below = descendants(paths).groupBy(F.col("ancestor_id").alias("id")).agg(F.count("*").alias("n"))
+    placed = dense_index(paths.select("id", "root_id", "path"), "first", "path").drop("path")
+    return placed.join(below, "id", "left").select(F.col("id").alias("session_id"), "root_id", F.col("first").cast("bigint").alias("first"), (F.col("first") + F.coalesce("n", F.lit(0))).cast("bigint").alias("last"))
+
+
 def found(sessions: DataFrame) -> DataFrame:
     """(session_id, root_id, depth) of each session that names a parent."""
     return resolve(parent_pointers(sessions)).where("has_link").select(F.col("id").alias("session_id"), "root_id", "depth")

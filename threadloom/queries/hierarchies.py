@@ -28,6 +28,7 @@ QUERIES = {
     **{name: _typed(variant) for name, variant in TYPED.items()},
     "p6_found": lambda s, d: hierarchy.found(load(s, d, "sessions")),
     "p6_hierarchy": lambda s, d: hierarchy.hierarchy(load(s, d, "sessions")),
+    "p6_intervals": lambda s, d: hierarchy.intervals(load(s, d, "sessions")),
     "p6_descendants": lambda s, d: hierarchy.descendants(hierarchy.resolve(hierarchy.parent_pointers(load(s, d, "sessions")), with_path=True)),
 }
 
@@ -70,6 +71,10 @@ SQL = {
          SELECT n.id AS session_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1) AS depth, t.path,
                 coalesce(b.n, 0)::BIGINT AS n_descendants
          FROM node n LEFT JOIN tree t ON n.id = t.id LEFT JOIN below b ON b.id = n.id""",
+    "p6_intervals": _TREE
+    + """, below AS (SELECT u.anc AS id, count(*) AS n FROM (SELECT id, unnest(string_split(path, '/')) AS anc FROM tree) u WHERE u.anc <> u.id GROUP BY 1)
+         SELECT t.id AS session_id, root_id, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS first, row_number() OVER (ORDER BY string_split(path, '/')) - 1 + coalesce(b.n, 0) AS last
+         FROM tree t LEFT JOIN below b ON b.id = t.id""",
     "p6_descendants": _TREE
     + """SELECT anc AS ancestor_id, id AS descendant_id, (depth - place + 1)::INTEGER AS distance
          FROM (SELECT id, depth, unnest(string_split(path, '/')) AS anc, generate_subscripts(string_split(path, '/'), 1) AS place FROM tree) WHERE place <= depth""",
