@@ -32,10 +32,8 @@ def test_some_queries(spark, data, name):
     assert df.count() > 0
 
 
-def test_every_pair_and_descendant_is_a_query(spark, data):
+def test_every_descendant_is_a_query(spark, data):
     q = entry.queries()
-    every, twice = ({(r.file_a, r.file_b): r.c for r in q[n](spark, data).collect()} for n in ("p7_all_pairs", "p7_pairs"))
-    assert 1 in every.values() and {k: c for k, c in every.items() if c > 1} == twice
     below = {}
     for r in q["p6_descendants"](spark, data).collect():
         below.setdefault(r.ancestor_id, set()).add(r.descendant_id)

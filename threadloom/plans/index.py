@@ -9,6 +9,7 @@ the posting, what it needs of the corpus in index_state.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -25,6 +26,8 @@ from threadloom.schemas import INDEX
 
 #: Directories of postings; more keep each of them small on larger corpora.
 TERM_BUCKETS = 32
+#: What an index can be built from: a store, tables, or what gives them when they are needed.
+Source = Store | dict[str, DataFrame] | Callable[[], dict[str, DataFrame]]
 # Fixed value: the name of the model of latent vectors.
 LATENT = "lsa-v1"
 
@@ -157,13 +160,13 @@ def read_state(spark: SparkSession, index_root: str) -> dict[str, str]:
         return {}
 
 
-def open_index(spark: SparkSession, index_root: str, source: Store | dict[str, DataFrame] | None = None, root: str = "", rank: int = lsa.RANK, embedder: Embedder | None = None) -> Index:
+def open_index(spark: SparkSession, index_root: str, source: Source | None = None, root: str = "", rank: int = lsa.RANK, embedder: Embedder | None = None) -> Index:
     """The index below *index_root*; one that has no state is built first from *source*."""
     state = read_state(spark, index_root)
     if "last_indexed_at" not in state:
         if source is None:
             raise ValueError(f"no index at {index_root} and nothing to build it from")
-        write_index(spark, source.truth() if isinstance(source, Store) else source, index_root, root, rank, embedder)
+        write_index(spark, source.truth() if isinstance(source, Store) else source() if callable(source) else source, index_root, root, rank, embedder)
         state = read_state(spark, index_root)
     return Index(spark, index_root, state)
 

@@ -12,7 +12,6 @@ from threadloom.operators import lsa, retrieval
 from threadloom.operators import sessions as ops
 from threadloom.plans import index as indexes
 from threadloom.plans.embed import Embedder, dense_scores
-from threadloom.plans.store import Store
 
 HIT = "session_id string, turn_id string, turn_index int, score double"
 
@@ -61,7 +60,7 @@ def hybrid(turns: DataFrame, hits: DataFrame, latent: DataFrame, dense: DataFram
     return assemble(rank(scored, facets, files, filters or Filters(), limit), best, turns, query_terms(query))
 
 
-def search(spark: SparkSession, index_root: str, query: str, filters: Filters | None = None, limit: int = 0, embedder: Embedder | None = None, source: Store | dict[str, DataFrame] | None = None, rank_of_model: int = lsa.RANK) -> DataFrame:
+def search(spark: SparkSession, index_root: str, query: str, filters: Filters | None = None, limit: int = 0, embedder: Embedder | None = None, source: indexes.Source | None = None, rank_of_model: int = lsa.RANK) -> DataFrame:
     """Hybrid search over the index at *index_root*, which is built from *source* where it is not.
 
     Dense scores are taken if there is an *embedder* and the index has its vectors. An

@@ -108,7 +108,7 @@ def index_root(s: SparkSession, d: str) -> str:
 
 def opened(s: SparkSession, d: str) -> index.Index:
     """The stored index of the given tables, built by the first query of a session that needs it."""
-    return index.open_index(s, index_root(s, d), truth(s, d), embedder=EMBEDDER)
+    return index.open_index(s, index_root(s, d), lambda: truth(s, d), embedder=EMBEDDER)
 
 
 def index_build(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def index_hits(s: SparkSession, d: str) -> DataFrame:
 
 
 def index_search(s: SparkSession, d: str, query: str = QUERY, filters: search.Filters | None = None) -> DataFrame:
-    return search.search(s, index_root(s, d), query, filters, embedder=EMBEDDER, source=truth(s, d))
+    return search.search(s, index_root(s, d), query, filters, embedder=EMBEDDER, source=lambda: truth(s, d))
 
 
 def drill_down(s: SparkSession, d: str) -> DataFrame:
