@@ -61,3 +61,10 @@ def test_paths_and_cache(spark):
     assert {r.problem for r in pairs.cache_differences(files, cps, cache.where("false")).collect()} == {"missing"}
     none = files.where("false")
     assert pairs.found(none, cps).count() == 0 and pairs.pairs(none, cps.where("false")).count() == 0
+
+
+def test_every_pair_is_a_query(spark, data):
+    from threadloom.llm.queries import QUERIES
+
+    every, twice = ({(r.file_a, r.file_b): r.c for r in QUERIES[n](spark, data).collect()} for n in ("p7_all_pairs", "p7_pairs"))
+    assert 1 in every.values() and {k: c for k, c in every.items() if c > 1} == twice
